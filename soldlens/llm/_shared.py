@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +34,20 @@ def stash(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stashed table that nothing will read again."""
+    spark = df.sparkSession
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files whose tables are gone: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with bounded batches; fn maps an iterator of record batches."""
     conf = df.sparkSession.conf

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soldlens.llm._shared import BY_SPACE, hashes, map_arrow, mix, stash, steps, text_of, utf8, words
+from soldlens.llm._shared import BY_SPACE, discard, hashes, map_arrow, mix, release, stash, steps, text_of, utf8, words
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _EDGE = np.uint64(0xA0761D6478BD642F)
@@ -127,7 +127,7 @@ def _places(key: str):
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, n and tokens of the wanted nodes (node, doc_id), read again from one document each.
+    """wanted (node, doc_id and more) with n and tokens of each node, read again from one document each.
 
     A Bloom filter of fixed size, made natively from the wanted doc_ids, spares the others the work; the join then is exact.
     """
@@ -155,18 +155,20 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.where("doc_id IS NOT NULL").select("doc_id", text_of().alias("t"), *[p.alias(f"p{i}") for i, p in enumerate(_places("doc_id"))])
     found = map_arrow(source, run, f"doc_id {kind}, node long, tokens array<long>").where("node IS NOT NULL")
-    return found.join(wanted, ["doc_id", "node"], "left_semi").select("node", F.size("tokens").alias("n"), "tokens")
+    return found.join(wanted, ["doc_id", "node"]).drop("doc_id").withColumn("n", F.size("tokens"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (x, y) whose sets are similar."""
-    a = sets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
-    b = sets.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    both = pairs.join(a, "x").join(b, "y").where((F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
+def _links(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose sets are similar; a: x, y, nx, tx and b: y, ny, ty."""
+    both = a.join(b, "y").where((F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
     shared = F.size(F.array_intersect("tx", "ty"))
     return both.where(shared * den >= (F.col("nx") + F.col("ny") - shared) * num).select("x", "y")
 
 
+def _as(sets: DataFrame, side: str, *more) -> DataFrame:
+    return sets.select(F.col("node").alias(side), *more, F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for every node with a link: least labels spread, then point onward."""
     edges = stash(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
@@ -181,10 +183,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _search_groups(cand: DataFrame, best: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _search_groups(cand: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between nodes that share a signature but are not yet in one component, by the token-group matrix.
 
-    cand: sig, node, pivot; best: node, group (its pivot); roots: node, root for linked nodes.
+    cand: sig, node, pivot; roots: node, root for linked nodes; sets: node, group (its pivot), n, tokens.
     """
     root_of = lambda df, node, name: df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     left = root_of(root_of(cand, "node", "root"), "pivot", "pivot_root").where("root <> pivot_root").select("sig", F.col("node").alias("x"), F.col("root").alias("x_root"))
@@ -192,38 +194,48 @@ def _search_groups(cand: DataFrame, best: DataFrame, roots: DataFrame, sets: Dat
     if left.isEmpty():
         return left.select("x", F.col("x").alias("y")).limit(0)
     # groups: a pivot's nodes, in chunks of about GROUP_TOKENS tokens
-    sizes = sets.select("node", "n").distinct()
-    members = root_of(cand.join(left.select("sig").distinct(), "sig", "left_semi").select("node").distinct(), "node", "root").join(best, "node").join(sizes, "node")
+    shared = stash(cand.join(left.select("sig").distinct(), "sig", "left_semi").select("sig", "node"), "left-signatures")
+    some = stash(sets.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "left-sets")
+    members = root_of(some.select("node", "group", "n"), "node", "root")
     chunks = members.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
-    members = stash(members.join(chunks, "group").withColumn("group", F.struct("group", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))).select("node", "root", "group"), "groups")
-    named = cand.join(left.select("sig").distinct(), "sig", "left_semi").select("sig", "node").join(members, "node").select("sig", "group", "root").distinct()
+    members = stash(members.join(chunks, "group").select("node", "root", F.struct("group", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")).alias("group")), "groups")
+    named = shared.join(members, "node").select("sig", "group", "root").distinct()
     queries = left.join(named, "sig").where("x_root <> root").select("x", "x_root", "group").distinct()
-    tokens = members.select("node", "group").join(sets.select("node", "tokens"), "node").select("group", F.explode("tokens").alias("t"))
-    unions = tokens.groupBy("group").agg(F.collect_set("t").alias("union"))
-    asked = queries.join(sets.select(F.col("node").alias("x"), "n", "tokens"), "x").join(unions, "group")
-    opened = asked.where(F.size(F.array_intersect("tokens", "union")) * den >= F.col("n") * num).select("x", "x_root", "group")
+    unions = members.select("node", "group").join(some.select("node", "tokens"), "node").select("group", F.explode("tokens").alias("t")).groupBy("group").agg(F.collect_set("t").alias("union"))
+    asked = queries.join(_as(some, "x"), "x").join(unions, "group")
+    opened = asked.where(F.size(F.array_intersect("tx", "union")) * den >= F.col("nx") * num).select("x", "x_root", "group")
     pairs = opened.join(members.select(F.col("node").alias("y"), "root", "group"), "group").where("x_root <> root").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return _links(pairs, sets, num, den)
+    return _links(pairs.join(_as(some, "x"), "x"), _as(some, "y"), num, den)
 
 
-def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row; documents link at num/den Jaccard similarity of k-word shingles."""
+def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and node of every row; sig, node and pivot where two nodes or more share a signature."""
     found = stash(_sets(docs, k, num, den), "shingle-sets")
-    rows = found.select("doc_id", "n_shingles", "node")
     sigs = found.where("sigs IS NOT NULL").select("node", F.explode("sigs").alias("sig"))
     per = Window.partitionBy("sig")
     shared = sigs.select("sig", "node", F.min("node").over(per).alias("pivot"), F.max("node").over(per).alias("last"))
     cand = stash(shared.where("pivot < last").select("sig", "node", "pivot").distinct(), "shared-signatures")
+    rows = stash(found.select("doc_id", "n_shingles", "node"), "nodes")
+    discard(found)
+    return rows, cand
+
+
+def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; documents link at num/den Jaccard similarity of k-word shingles."""
+    rows, cand = _candidates(docs, k, num, den)
+    release(docs.sparkSession)
     # the pivot that a node shares most signatures with; a pivot of its own group comes last
     counts = cand.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = stash(counts.groupBy("node").agg(F.min(F.struct((F.col("pivot") == F.col("node")).alias("own"), (-F.col("n")).alias("n"), "pivot")).alias("b")).select("node", F.col("b.pivot").alias("group")), "groups-by-pivot")
+    best = counts.groupBy("node").agg(F.min(F.struct((F.col("pivot") == F.col("node")).alias("own"), (-F.col("n")).alias("n"), "pivot")).alias("b")).select("node", F.col("b.pivot").alias("group"))
+    best = stash(best, "groups-by-pivot")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = nodes.join(best.select("node"), "node", "left_semi")
-    sets = stash(_token_sets(docs, stash(wanted, "wanted"), k), "token-sets")
-    pairs = best.where("node <> group").select(F.col("node").alias("x"), F.col("group").alias("y"))
-    links = stash(_links(pairs, sets, num, den), "links")
+    pivots = best.select(F.col("group").alias("node")).distinct().withColumn("pivot", F.lit(True))
+    wanted = stash(nodes.join(best, "node").join(pivots, "node", "left"), "wanted")
+    sets = stash(_token_sets(docs, wanted, k), "token-sets")
+    release(docs.sparkSession)
+    links = stash(_links(_as(sets.where("node <> group"), "x", F.col("group").alias("y")), _as(sets.where("pivot"), "y"), num, den).distinct(), "links")
     roots = components(links)
-    more = stash(_search_groups(cand, best, roots, sets, num, den), "links")
+    more = stash(_search_groups(cand, roots, sets, num, den), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
     own = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
