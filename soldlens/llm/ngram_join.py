@@ -44,7 +44,7 @@ def size_classes(num: int, den: int) -> list[tuple[int, int, int]]:
     while low < 1 << 28:
         high = max(low, low * den // num)
         d = (den - num) * 2 * high // (den + num)
-        spare = 0 if d < 4 else 1 if d < 8 else 2 + d // 20
+        spare = 0 if d < 4 else 1 if d < 8 else 2 + d // 12
         out.append((high, d, d + 1 + spare))
         low = high + 1
     return out
@@ -78,11 +78,11 @@ def digest(tokens: np.ndarray) -> int:
         return int(mix(np.array([np.sum(mix(tokens + _EDGE), dtype=np.uint64)]) + np.uint64(len(tokens)))[0].astype(np.int64))
 
 
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Digests of the parts in the set's own size class and the next."""
+def signatures(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Digests of the parts in the set's own size class and the next, and how many of them any similar set shares at least."""
     n, classes = len(tokens), size_classes(num, den)
     own = next(i for i, c in enumerate(classes) if n <= c[0])
-    mixed, out = mix(tokens ^ _STEP), []
+    mixed, out, needs = mix(tokens ^ _STEP), [], []
     for i in (own, own + 1):
         if i > own and n * den < num * (classes[own][0] + 1):
             continue  # no set of the next class is near enough in size
@@ -93,33 +93,39 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         sig = mix(total + np.arange(k, dtype=np.uint64) * _EDGE + np.uint64((i + 1) * int(_STEP) & _MASK))
         full = np.bincount(part.astype(np.int64), minlength=k) > 0
         # fewer empty parts than agreeing ones: some agreeing part has tokens, and the empty ones need no signature
-        out.append(sig[full] if k - np.count_nonzero(full) < k - d else sig)
-    return np.concatenate(out).astype(np.int64)
+        empty = k - np.count_nonzero(full)
+        out.append(sig[full] if empty < k - d else sig)
+        needs.append(k - d - empty if empty < k - d else 1)
+    return np.concatenate(out).astype(np.int64), min(needs)
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles) and sigs (null where the task has given them for the node)."""
+    """doc_id, n_shingles, node (null without shingles), need and sigs (both null where the task has given them for the node)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         known: set[int] = set()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            n, node, sigs = [], [], []
+            n, node, need, sigs = [], [], [], []
             for lo, hi in steps(offsets):
                 for s in shingle_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k):
                     x = digest(s) if len(s) else None
                     n.append(len(s))
                     node.append(x)
                     if x is None or x in known:
+                        need.append(None)
                         sigs.append(None)
                     else:
                         if len(known) < REMEMBERED:
                             known.add(x)
-                        sigs.append(signatures(s, num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "sigs"])
+                        own, least = signatures(s, num, den)
+                        need.append(least)
+                        sigs.append(own)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(need, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "need", "sigs"])
 
-    return map_arrow(docs.select("doc_id", text_of().alias("t")).where("doc_id IS NOT NULL"), run, f"doc_id {kind}, n_shingles long, node long, sigs array<long>")
+    return map_arrow(docs.select("doc_id", text_of().alias("t")).where("doc_id IS NOT NULL"), run, f"doc_id {kind}, n_shingles long, node long, need long, sigs array<long>")
 
 
 def _places(key: str):
@@ -186,7 +192,7 @@ def components(links: DataFrame) -> DataFrame:
 def _search_groups(cand: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between nodes that share a signature but are not yet in one component, by the token-group matrix.
 
-    cand: sig, node, pivot; roots: node, root for linked nodes; sets: node, group (its pivot), n, tokens.
+    cand: sig, node, pivot; roots: node, root for linked nodes; sets: node, group (its pivot), need, n, tokens.
     """
     root_of = lambda df, node, name: df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
     left = root_of(root_of(cand, "node", "root"), "pivot", "pivot_root").where("root <> pivot_root").select("sig", F.col("node").alias("x"), F.col("root").alias("x_root"))
@@ -200,22 +206,34 @@ def _search_groups(cand: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
     chunks = members.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
     members = stash(members.join(chunks, "group").select("node", "root", F.struct("group", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")).alias("group")), "groups")
     named = shared.join(members, "node").select("sig", "group", "root").distinct()
-    queries = left.join(named, "sig").where("x_root <> root").select("x", "x_root", "group").distinct()
+    # of the signatures that a similar pair shares, each is left for one of the two at least, and half of them for one
+    asks = left.join(named, "sig").where("x_root <> root").select("sig", "x", "x_root", "group").distinct().groupBy("x", "x_root", "group").agg(F.count(F.lit(1)).alias("n_sigs"))
+    queries = asks.join(some.select(F.col("node").alias("x"), "need"), "x").where("2 * n_sigs >= need").select("x", "x_root", "group")
     unions = members.select("node", "group").join(some.select("node", "tokens"), "node").select("group", F.explode("tokens").alias("t")).groupBy("group").agg(F.collect_set("t").alias("union"))
     asked = queries.join(_as(some, "x"), "x").join(unions, "group")
     opened = asked.where(F.size(F.array_intersect("tx", "union")) * den >= F.col("nx") * num).select("x", "x_root", "group")
     pairs = opened.join(members.select(F.col("node").alias("y"), "root", "group"), "group").where("x_root <> root").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # a member is read in full only if it is near in size and shares as many signatures as a similar set must
+    marks = stash(cand.join(some.select("node", "need", "n"), "node").groupBy("node").agg(F.first("need").alias("need"), F.first("n").alias("n"), F.collect_set("sig").alias("sigs")), "marks")
+    sides = [marks.select(F.col("node").alias(c), F.col("need").alias(f"need{c}"), F.col("n").alias(f"n{c}"), F.col("sigs").alias(f"s{c}")) for c in "xy"]
+    both = pairs.join(sides[0], "x").join(sides[1], "y").where((F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
+    pairs = stash(both.where(F.size(F.array_intersect("sx", "sy")) >= F.greatest("needx", "needy")).select("x", "y"), "pairs")
     return _links(pairs.join(_as(some, "x"), "x"), _as(some, "y"), num, den)
 
 
 def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles and node of every row; sig, node and pivot where two nodes or more share a signature."""
+    """doc_id, n_shingles, node and need of every row; sig, node and pivot where two nodes or more share a signature."""
     found = stash(_sets(docs, k, num, den), "shingle-sets")
     sigs = found.where("sigs IS NOT NULL").select("node", F.explode("sigs").alias("sig"))
     per = Window.partitionBy("sig")
     shared = sigs.select("sig", "node", F.min("node").over(per).alias("pivot"), F.max("node").over(per).alias("last"))
-    cand = stash(shared.where("pivot < last").select("sig", "node", "pivot").distinct(), "shared-signatures")
-    rows = stash(found.select("doc_id", "n_shingles", "node"), "nodes")
+    cand = stash(shared.where("pivot < last").select("sig", "node", "pivot").distinct(), "signatures")
+    # a node with fewer shared signatures than any similar set must share with it has no link
+    need = found.where("need IS NOT NULL").groupBy("node").agg(F.min("need").alias("need"))
+    enough = cand.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(need, "node").where("n >= need").select("node", "need")
+    cand = cand.join(enough.select("node"), "node", "left_semi").withColumn("pivot", F.min("node").over(per)).withColumn("last", F.max("node").over(per))
+    cand = stash(cand.where("pivot < last").select("sig", "node", "pivot"), "shared-signatures")
+    rows = stash(found.select("doc_id", "n_shingles", "node", "need"), "nodes")
     discard(found)
     return rows, cand
 
@@ -228,7 +246,7 @@ def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     counts = cand.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("node").agg(F.min(F.struct((F.col("pivot") == F.col("node")).alias("own"), (-F.col("n")).alias("n"), "pivot")).alias("b")).select("node", F.col("b.pivot").alias("group"))
     best = stash(best, "groups-by-pivot")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("need").alias("need"))
     pivots = best.select(F.col("group").alias("node")).distinct().withColumn("pivot", F.lit(True))
     wanted = stash(nodes.join(best, "node").join(pivots, "node", "left"), "wanted")
     sets = stash(_token_sets(docs, wanted, k), "token-sets")
