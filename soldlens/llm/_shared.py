@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
-#: Rows that Spark sends to Python at once: bounds the worker's memory when texts are long.
-ARROW_ROWS = "1000"
+#: Rows and bytes that Spark sends to Python at once: bounds the worker's memory when texts are long.
+ARROW_ROWS, ARROW_BYTES = "1000", str(16 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return df.mapInArrow(fn, schema)
 
 

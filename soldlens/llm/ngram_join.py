@@ -3,12 +3,14 @@
 A document's set is a node, named by a 64-bit digest of its shingles' hashes, so exact copies are one node. Similar nodes
 are brought together by signatures with a guarantee: for sizes up to u, sets at the threshold differ in at most d shingles;
 shingles are dealt to k > d parts by hash, so similar sets agree in whole parts. A signature is the digest of one part.
-Each node joins the group of its pivot, the least node of the signature it shares most; links within these groups are checked
+Each node joins the group of the pivot it shares most signatures with, a pivot being a signature's most central node; links within these groups are checked
 first. What is left is searched with the token-group matrix: each group's token union is stored, a query's overlap with
 the union bounds its similarity with every member, and only groups that reach the threshold are opened, member by member.
 A pair is left out only if it shares no signature, or its group's bound excludes it, or it is in one component already.
 
-No list of pairs within a group is made: candidates are (node, pivot) and (node, group) rows. Hot nodes are joined, never
+No list of pairs within a group is made: candidates are (node, pivot) and (group, group) rows, and a group is opened within
+a task by counting its members per token of the query. Families of copies that lie just under the threshold cost work,
+not rows or memory, in the square of their size. Hot nodes are joined, never
 gathered, so that adaptive execution can split them. All hashes have 64 bits.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with nothing; a text of
@@ -34,7 +36,7 @@ _MASK = (1 << 64) - 1
 REMEMBERED = 200_000
 #: Bits of the filter that says which documents' sets are needed (8 MB), and tokens in a group's union, about.
 FILTER_BITS = 1 << 26
-GROUP_TOKENS = 1 << 14
+GROUP_TOKENS = 1 << 16
 
 
 @cache
@@ -201,24 +203,61 @@ def _search_groups(cand: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
         return left.select("x", F.col("x").alias("y")).limit(0)
     # groups: a pivot's nodes, in chunks of about GROUP_TOKENS tokens
     shared = stash(cand.join(left.select("sig").distinct(), "sig", "left_semi").select("sig", "node"), "left-signatures")
-    some = stash(sets.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "left-sets")
-    members = root_of(some.select("node", "group", "n"), "node", "root")
-    chunks = members.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
-    members = stash(members.join(chunks, "group").select("node", "root", F.struct("group", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")).alias("group")), "groups")
+    some = sets.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    some = stash(root_of(some, "node", "root"), "left-sets")
+    chunks = some.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
+    members = stash(some.join(chunks, "group").select("node", "root", "need", F.xxhash64("group", F.pmod(F.xxhash64("node"), "chunks")).alias("group")), "groups")
     named = shared.join(members, "node").select("sig", "group", "root").distinct()
     # of the signatures that a similar pair shares, each is left for one of the two at least, and half of them for one
-    asks = left.join(named, "sig").where("x_root <> root").select("sig", "x", "x_root", "group").distinct().groupBy("x", "x_root", "group").agg(F.count(F.lit(1)).alias("n_sigs"))
-    queries = asks.join(some.select(F.col("node").alias("x"), "need"), "x").where("2 * n_sigs >= need").select("x", "x_root", "group")
-    unions = members.select("node", "group").join(some.select("node", "tokens"), "node").select("group", F.explode("tokens").alias("t")).groupBy("group").agg(F.collect_set("t").alias("union"))
-    asked = queries.join(_as(some, "x"), "x").join(unions, "group")
-    opened = asked.where(F.size(F.array_intersect("tx", "union")) * den >= F.col("nx") * num).select("x", "x_root", "group")
-    pairs = opened.join(members.select(F.col("node").alias("y"), "root", "group"), "group").where("x_root <> root").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    # a member is read in full only if it is near in size and shares as many signatures as a similar set must
-    marks = stash(cand.join(some.select("node", "need", "n"), "node").groupBy("node").agg(F.first("need").alias("need"), F.first("n").alias("n"), F.collect_set("sig").alias("sigs")), "marks")
-    sides = [marks.select(F.col("node").alias(c), F.col("need").alias(f"need{c}"), F.col("n").alias(f"n{c}"), F.col("sigs").alias(f"s{c}")) for c in "xy"]
-    both = pairs.join(sides[0], "x").join(sides[1], "y").where((F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
-    pairs = stash(both.where(F.size(F.array_intersect("sx", "sy")) >= F.greatest("needx", "needy")).select("x", "y"), "pairs")
-    return _links(pairs.join(_as(some, "x"), "x"), _as(some, "y"), num, den)
+    asks = left.join(named, "sig").where("x_root <> root").select("sig", "x", "group").distinct().groupBy("x", "group").agg(F.count(F.lit(1)).alias("n_sigs"))
+    own = members.select(F.col("node").alias("x"), "need", F.col("group").alias("own"))
+    pairs = asks.join(own, "x").where("2 * n_sigs >= need").select(F.least("own", "group").alias("a"), F.greatest("own", "group").alias("b")).distinct()
+    blocks = stash(some.join(members.select("node", "group"), "node").select(members["group"], F.struct("node", "root", "tokens").alias("m")).groupBy("group").agg(F.collect_list("m").alias("members")), "blocks")
+    sides = [blocks.select(F.col("group").alias(c), F.col("members").alias(f"m{c}")) for c in "ab"]
+    return map_arrow(pairs.join(sides[0], "a").join(sides[1], "b").select("ma", "mb"), _opened(num, den), "x long, y long")
+
+
+def _opened(num: int, den: int):
+    """Links of the members of one group, as queries, with those of another, as far as they join components."""
+
+    def fields(rows: pa.ListArray, i: int):
+        lo, hi = rows.offsets[i].as_py(), rows.offsets[i + 1].as_py()
+        members = rows.values.slice(lo, hi - lo)
+        tokens = members.field("tokens")
+        return members.field("node").to_numpy(), members.field("root").to_numpy(), tokens.offsets.to_numpy(), tokens.values.to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                (xs, x_roots, x_at, x_tokens), (ys, y_roots, y_at, y_tokens) = fields(batch.column(0), i), fields(batch.column(1), i)
+                size = np.diff(y_at)
+                flat = y_tokens[y_at[0] : y_at[-1]]
+                order = np.argsort(flat)
+                tokens, owner = flat[order], np.repeat(np.arange(len(ys)), size)[order]
+                known = {int(r): int(r) for r in (*x_roots, *y_roots)}
+
+                def top(r: int, known=known) -> int:
+                    while known[r] != r:
+                        r = known[r]
+                    return r
+
+                for j in range(len(xs)):
+                    own = x_tokens[x_at[j] : x_at[j + 1]]
+                    begin, end = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
+                    if np.count_nonzero(end > begin) * den < len(own) * num:
+                        continue  # the token union bounds the overlap with every member
+                    n = end - begin
+                    stop = np.cumsum(n)
+                    both = np.bincount(owner[np.arange(stop[-1]) + np.repeat(begin - (stop - n), n)], minlength=len(ys))
+                    for m in np.flatnonzero(both * den >= (len(own) + size - both) * num).tolist():
+                        a, b = top(int(x_roots[j])), top(int(y_roots[m]))
+                        if a != b:
+                            known[max(a, b)] = min(a, b)
+                            links.append((int(xs[j]), int(ys[m])))
+            yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in links], pa.int64()) for c in (0, 1)], ["x", "y"])
+
+    return run
 
 
 def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -230,9 +269,10 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     cand = stash(shared.where("pivot < last").select("sig", "node", "pivot").distinct(), "signatures")
     # a node with fewer shared signatures than any similar set must share with it has no link
     need = found.where("need IS NOT NULL").groupBy("node").agg(F.min("need").alias("need"))
-    enough = cand.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(need, "node").where("n >= need").select("node", "need")
-    cand = cand.join(enough.select("node"), "node", "left_semi").withColumn("pivot", F.min("node").over(per)).withColumn("last", F.max("node").over(per))
-    cand = stash(cand.where("pivot < last").select("sig", "node", "pivot"), "shared-signatures")
+    enough = cand.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(need, "node").where("n >= need").select("node", "n")
+    # the pivot of a signature is its node with most shared signatures: the one most like the others
+    cand = cand.select("sig", "node").join(enough.select("node", "n"), "node").withColumn("pivot", F.max(F.struct("n", "node")).over(per)["node"]).withColumn("several", F.min("node").over(per) < F.max("node").over(per))
+    cand = stash(cand.where("several").select("sig", "node", "pivot"), "shared-signatures")
     rows = stash(found.select("doc_id", "n_shingles", "node", "need"), "nodes")
     discard(found)
     return rows, cand
