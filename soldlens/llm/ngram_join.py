@@ -206,12 +206,13 @@ def _search_groups(cand: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
     some = sets.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     some = stash(root_of(some, "node", "root"), "left-sets")
     chunks = some.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
-    members = stash(some.join(chunks, "group").select("node", "root", "need", F.xxhash64("group", F.pmod(F.xxhash64("node"), "chunks")).alias("group")), "groups")
-    named = shared.join(members, "node").select("sig", "group", "root").distinct()
-    # of the signatures that a similar pair shares, each is left for one of the two at least, and half of them for one
-    asks = left.join(named, "sig").where("x_root <> root").select("sig", "x", "group").distinct().groupBy("x", "group").agg(F.count(F.lit(1)).alias("n_sigs"))
-    own = members.select(F.col("node").alias("x"), "need", F.col("group").alias("own"))
-    pairs = asks.join(own, "x").where("2 * n_sigs >= need").select(F.least("own", "group").alias("a"), F.greatest("own", "group").alias("b")).distinct()
+    members = stash(some.join(chunks, "group").select("node", "root", F.xxhash64("group", F.pmod(F.xxhash64("node"), "chunks")).alias("group")), "groups")
+    # group pairs that share a left signature and are not of one component as a whole
+    held = lambda df, g: df.groupBy("sig", F.col("group").alias(g)).agg(F.min("root").alias(f"{g}_low"), F.max("root").alias(f"{g}_high"))
+    askers = held(left.select("sig", F.col("x").alias("node")).join(members, "node"), "a")
+    holders = held(shared.join(members, "node"), "b")
+    apart = (F.col("a_low") != F.col("a_high")) | (F.col("b_low") != F.col("b_high")) | (F.col("a_low") != F.col("b_low"))
+    pairs = askers.join(holders, "sig").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     blocks = stash(some.join(members.select("node", "group"), "node").select(members["group"], F.struct("node", "root", "tokens").alias("m")).groupBy("group").agg(F.collect_list("m").alias("members")), "blocks")
     sides = [blocks.select(F.col("group").alias(c), F.col("members").alias(f"m{c}")) for c in "ab"]
     return map_arrow(pairs.join(sides[0], "a").join(sides[1], "b").select("ma", "mb"), _opened(num, den), "x long, y long")
