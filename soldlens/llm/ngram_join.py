@@ -46,7 +46,7 @@ def size_classes(num: int, den: int) -> list[tuple[int, int, int]]:
     while low < 1 << 28:
         high = max(low, low * den // num)
         d = (den - num) * 2 * high // (den + num)
-        spare = 0 if d < 4 else 1 if d < 8 else 2 + d // 12
+        spare = 0 if d < 4 else 1 if d < 8 else 2 + d // 6
         out.append((high, d, d + 1 + spare))
         low = high + 1
     return out
@@ -134,24 +134,51 @@ def _places(key: str):
     return [F.pmod(F.xxhash64(F.lit(seed), key), F.lit(FILTER_BITS)) for seed in (1, 2)]
 
 
+def _filter(ids: DataFrame):
+    """A Bloom filter of the doc_ids, broadcast: FILTER_BITS bits however many they are."""
+    places = ids.select(F.explode(F.array(*_places("doc_id"))).alias("p"))
+    cells = places.groupBy(F.expr("p div 63").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 63 + 1, np.int64)
+    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def _may_be(shared, batch: pa.RecordBatch, first: int) -> np.ndarray:
+    """Which rows may be in the filter; the batch's two places are in columns first and first + 1."""
+    keep = np.ones(batch.num_rows, bool)
+    for c in (first, first + 1):
+        p = batch.column(c).to_numpy()
+        keep &= (shared.value[p // 63] >> (p % 63)) & 1 == 1
+    return keep
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents, all columns, whose doc_id is not in ids; only those that a Bloom filter does not clear are joined."""
+    shared, columns = _filter(ids), docs.columns
+    source = docs.select(*columns, *[p.alias(f"__p{i}") for i, p in enumerate(_places("doc_id"))])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def part(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                rows = batch.filter(pa.array(_may_be(shared, batch, len(columns)) == wanted))
+                yield pa.RecordBatch.from_arrays(rows.columns[: len(columns)], columns)
+
+        return map_arrow(source, run, schema)
+
+    return part(False).union(part(True).join(ids, "doc_id", "left_anti").select(*columns))
+
+
 def _token_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """wanted (node, doc_id and more) with n and tokens of each node, read again from one document each.
 
     A Bloom filter of fixed size, made natively from the wanted doc_ids, spares the others the work; the join then is exact.
     """
-    places = wanted.select(F.explode(F.array(*_places("doc_id"))).alias("p"))
-    cells = places.groupBy(F.expr("p div 63").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 63 + 1, np.int64)
-    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = _filter(wanted)
 
     def run(batches):
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for c in (2, 3):
-                p = batch.column(c).to_numpy()
-                keep &= (shared.value[p // 63] >> (p % 63)) & 1 == 1
-            part = batch.filter(pa.array(keep))
+            part = batch.filter(pa.array(_may_be(shared, batch, 2)))
             data, offsets = utf8(part.column(1))
             nodes, tokens = [], []
             for lo, hi in steps(offsets):
@@ -206,15 +233,19 @@ def _search_groups(cand: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
     some = sets.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     some = stash(root_of(some, "node", "root"), "left-sets")
     chunks = some.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
-    members = stash(some.join(chunks, "group").select("node", "root", F.xxhash64("group", F.pmod(F.xxhash64("node"), "chunks")).alias("group")), "groups")
-    # group pairs that share a left signature and are not of one component as a whole
-    held = lambda df, g: df.groupBy("sig", F.col("group").alias(g)).agg(F.min("root").alias(f"{g}_low"), F.max("root").alias(f"{g}_high"))
-    askers = held(left.select("sig", F.col("x").alias("node")).join(members, "node"), "a")
+    chunked = some.join(chunks, "group").select("node", "root", "need", F.xxhash64("group", F.pmod(F.xxhash64("node"), "chunks")).alias("group"))
+    asking = left.select(F.col("x").alias("node")).distinct().withColumn("asks", F.lit(True))
+    members = stash(chunked.join(asking, "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "groups")
+    # Group pairs not of one component as a whole. Of the signatures that a similar pair shares, each is left for one of the
+    # two at least, so half of them are left for one: groups that share fewer with an asker's group need no opening.
+    held = lambda df, g, *more: df.groupBy("sig", F.col("group").alias(g)).agg(F.min("root").alias(f"{g}_low"), F.max("root").alias(f"{g}_high"), *more)
+    askers = held(left.select("sig", F.col("x").alias("node")).join(members, "node"), "a", F.min("need").alias("need"))
     holders = held(shared.join(members, "node"), "b")
     apart = (F.col("a_low") != F.col("a_high")) | (F.col("b_low") != F.col("b_high")) | (F.col("a_low") != F.col("b_low"))
-    pairs = askers.join(holders, "sig").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    blocks = stash(some.join(members.select("node", "group"), "node").select(members["group"], F.struct("node", "root", "tokens").alias("m")).groupBy("group").agg(F.collect_list("m").alias("members")), "blocks")
-    sides = [blocks.select(F.col("group").alias(c), F.col("members").alias(f"m{c}")) for c in "ab"]
+    pairs = askers.join(holders, "sig").where(apart).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("2 * n >= need").select("a", "b")
+    full = stash(some.join(members.select("node", F.col("group").alias("g"), "asks"), "node").select(F.col("g").alias("group"), "asks", F.struct("node", "root", "tokens").alias("m")), "members")
+    block = lambda df, c: df.groupBy(F.col("group").alias(c)).agg(F.collect_list("m").alias(f"m{c}"))
+    sides = block(full.where("asks"), "a"), block(full, "b")
     return map_arrow(pairs.join(sides[0], "a").join(sides[1], "b").select("ma", "mb"), _opened(num, den), "x long, y long")
 
 
@@ -321,7 +352,5 @@ def _sizes(rows: DataFrame, k: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents, all columns, with the least doc_id of each component; rows with a null doc_id stay."""
-    kept = similar(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    columns = docs.columns
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*columns)
-    return named.union(docs.where("doc_id IS NULL").select(*columns))
+    spare = stash(similar(docs, k, num, den).where("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
+    return without(docs, spare)
