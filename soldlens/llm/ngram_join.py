@@ -36,7 +36,7 @@ _MASK = (1 << 64) - 1
 REMEMBERED = 200_000
 #: Bits of the filter that says which documents' sets are needed (8 MB), and tokens in a group's union, about.
 FILTER_BITS = 1 << 26
-GROUP_TOKENS = 1 << 16
+GROUP_TOKENS = 1 << 18
 
 
 @cache
@@ -232,8 +232,12 @@ def _search_groups(cand: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
     shared = stash(cand.join(left.select("sig").distinct(), "sig", "left_semi").select("sig", "node"), "left-signatures")
     some = sets.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     some = stash(root_of(some, "node", "root"), "left-sets")
-    chunks = some.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
-    chunked = some.join(chunks, "group").select("node", "root", "need", F.xxhash64("group", F.pmod(F.xxhash64("node"), "chunks")).alias("group"))
+    tree = some.select("node", "root", "need", "n", "group")
+    for _ in range(2):  # pivots have pivots: four steps up the tree bring the parts of a family together
+        up = tree.select(F.col("node").alias("group"), F.col("group").alias("__up"))
+        tree = stash(tree.join(up, "group", "left").select("node", "root", "need", "n", F.coalesce("__up", "group").alias("group")), "trees")
+    chunks = tree.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
+    chunked = tree.join(chunks, "group").select("node", "root", "need", F.xxhash64("group", F.pmod(F.xxhash64("node"), "chunks")).alias("group"))
     asking = left.select(F.col("x").alias("node")).distinct().withColumn("asks", F.lit(True))
     members = stash(chunked.join(asking, "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "groups")
     # Group pairs not of one component as a whole. Of the signatures that a similar pair shares, each is left for one of the
