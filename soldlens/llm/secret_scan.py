@@ -107,13 +107,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["order"] + 1), s["start"], s["end"])), ",")
 
 
+def _base_spans(text: Column, order: int, pattern: str, group: int, least: int) -> Column:
+    # one argument each: a second one would be the element's index
+    good = F.filter(_matches(text, pattern, group), lambda m: F.char_length(m["value"]) >= least)
+    return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end")))
+
+
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns with base and spans: array<struct<start, order, end>>; base is what the patterns alone found."""
     out = docs.select(*keep, text_of(text).alias("__text"))
     t = F.col("__text")
-    for i, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
-        good = F.filter(_matches(t, pattern, group), lambda m, least=least: F.char_length(m["value"]) >= least)
-        out = out.withColumn(f"__{kind}", F.transform(good, lambda m, i=i: F.struct(m["start"].alias("start"), F.lit(i).alias("order"), m["end"].alias("end"))))
+    for i, kind in enumerate(KINDS):
+        out = out.withColumn(f"__{kind}", _base_spans(t, i, *KINDS[kind]))
     out = out.withColumn("base", F.concat(*[F.col(f"__{k}") for k in KINDS]))
     entropy = F.when(t.rlike(CANDIDATE), _entropy_spans(t, F.col("base")))
     return out.withColumn("spans", F.concat("base", F.coalesce(entropy, F.expr("cast(array() as array<struct<start:int,order:int,end:int>>)")))).drop(*[f"__{k}" for k in KINDS])
