@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soldlens.functions import categories, dates, money, text, urls
-from soldlens.operators import geometry, listing, merge, reports, resolve, stats
+from soldlens.operators import geometry, listing, merge, reports, resolve, slices, stats
 from soldlens.plans import observations, priced_events, readings, sales, table
-from soldlens.sources import export, pages
+from soldlens.sources import cards, dataset, export, pages
 from soldlens.streaming import ingest
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -512,3 +512,53 @@ def stream_daily_counts(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     return ingest.run_available(ingest.daily_counts(stream))
+
+
+# --- result cards, slices, detector data ----------------------------------------------------------------------------
+
+_ORDER_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i FROM lineitem"
+
+
+def _lines(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, d, "lineitem").withColumn("i", F.row_number().over(w))
+
+
+@query(f"""SELECT l_orderkey AS page_id, CAST(i AS INT) AS position, CAST(100000000000 + l_partkey AS VARCHAR) AS item_id, concat('Part ', l_partkey, ' & ', l_returnflag) AS title, l_linenumber <= 3 AS matches_query,
+ round(l_extendedprice, 2) AS price, CASE WHEN l_linestatus = 'O' THEN 0.0 ELSE round(l_quantity, 2) END AS shipping, CAST(l_shipdate AS DATE) AS sold_date, CASE WHEN l_returnflag = 'A' THEN 'Pre-Owned' ELSE 'Brand New' END AS condition FROM ({_ORDER_LINES})""")
+def result_cards(spark, d):
+    """Every order as a saved result page, read back."""
+    c = lambda f, *names: F.format_string(f, *names)
+    condition = F.when(F.col("l_returnflag") == "A", "Pre-Owned").otherwise("Brand New")
+    delivery = F.when(F.col("l_linestatus") == "O", "Free delivery").otherwise(c("+$%.2f delivery", "l_quantity"))
+    item = c(
+        '<li class="s-card" data-listingid="%d"><div class="s-card__title"><span class="su-styled-text">Part %d &amp; %s</span></div><div class="s-card__caption">Sold %s</div><div class="s-card__subtitle">%s</div>'
+        '<div class="su-card-container__attributes__primary"><div class="s-card__attribute-row"><span class="s-card__price">$%.2f</span></div><div class="s-card__attribute-row">%s</div></div></li>',
+        F.col("l_partkey") + 100_000_000_000, "l_partkey", "l_returnflag", F.date_format("l_shipdate", "MMM d, yyyy"), condition, "l_extendedprice", delivery,
+    )
+    divide = F.when(F.col("l_linenumber") > 3, '<li class="srp-river-answer--REWRITE_START"></li>').otherwise("")
+    rows = _lines(spark, d).groupBy(F.col("l_orderkey").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("i", F.concat(divide, item).alias("h")))).alias("x"))
+    html = rows.select("page_id", F.concat(F.lit('<ul class="srp-results">'), F.array_join("x.h", ""), F.lit("</ul>")).alias("html"))
+    return cards.listings(cards.read_cards(html)).select("page_id", "position", "item_id", "title", "matches_query", "price", "shipping", "sold_date", "condition")
+
+
+@query(f"SELECT l_orderkey AS page, CAST(i AS BIGINT) AS position, concat('part ', i) AS title, CAST(l_partkey AS VARCHAR) AS price_text, i > 3 AS below_fewer_words_heading FROM ({_ORDER_LINES})")
+def merged_slices(spark, d):
+    """Every order's lines as slices of three that overlap by one, joined again."""
+    rows = _lines(spark, d).select(F.col("l_orderkey").alias("page"), "i", F.format_string("part %d", "i").alias("title"), F.col("l_partkey").cast("string").alias("price_text"), (F.col("i") > 3).alias("below_fewer_words_heading"))
+    at = F.floor((F.col("i") - 1) / 2)
+    again = (F.col("i") % 2 == 1) & (F.col("i") > 1)
+    cut = rows.withColumn("slice", F.explode(F.when(again, F.array(at - 1, at)).otherwise(F.array(at)))).withColumn("position", F.col("i").cast("long")).drop("i")
+    return slices.merge_slices(cut).select("page", "position", "title", "price_text", "below_fewer_words_heading")
+
+
+@query(f"""WITH b AS (SELECT page, id, CASE WHEN id > 3 THEN 'listing' ELSE 'title' END AS cls, x, y, w, h FROM ({_BOXES})), t AS (SELECT DISTINCT page, k AS tile, k * 40.0 AS ty FROM ({_BOXES}), LATERAL unnest(range(0, 4)) u(k)),
+v AS (SELECT b.*, t.tile, greatest(0, least(x + w, 1000.0) - greatest(x, 0.0)) * greatest(0, least(y + h, ty + 50.0) - greatest(y, ty)) / (w * h) AS visible FROM b JOIN t USING (page) WHERE w * h > 0)
+SELECT page AS render, tile, id AS region, cls, round(visible, 4) AS visible FROM v WHERE visible > 0 AND visible + 1e-9 >= CASE WHEN cls = 'listing' THEN 0.3 ELSE 0.5 END""")
+def tile_labels(spark, d):
+    boxes = _boxes(spark, d)
+    b = boxes.select(F.col("page").alias("render"), F.col("id").alias("region"), F.when(F.col("id") > 3, "listing").otherwise("title").alias("cls"), geometry.box(*(F.col(c) for c in "xywh")).alias("box"), F.lit(None).cast("string").alias("text"))
+    tile = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("tile")
+    t = boxes.select(F.col("page").alias("render")).distinct().select("render", tile)
+    t = t.select("render", "tile", geometry.box(F.lit(0.0), F.col("tile") * 40.0, F.lit(1000.0), F.lit(50.0)).alias("tile_box"), F.lit(1.0).alias("scale"), F.lit(1000).alias("img_w"), F.lit(50).alias("img_h"))
+    return dataset.visible_boxes(b, t).select("render", "tile", "region", "cls", F.round("visible", 4).alias("visible"))

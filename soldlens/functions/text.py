@@ -76,6 +76,13 @@ def letters_only(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *HOMOGLYPHS), r"(?U)[^\p{L}]", "")
 
 
+def unescape(c: Column) -> Column:
+    """The common character references as characters."""
+    for entity, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&rsquo;", "’"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def word_count(c: Column) -> Column:
     text = clean_text(c)
     return F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).cast("long")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from soldlens.functions.text import normalize_keywords
+from soldlens.functions.text import clean_text, normalize_keywords, unescape
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -27,10 +27,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def guess_keywords(html: Column) -> Column:
-    """The search box's value, else the title without its suffix."""
-    box = F.regexp_extract(html, r"""(?is)<input\b[^>]*\bname\s*=\s*["']?_nkw["']?[^>]*?\bvalue\s*=\s*["']([^"']*)["']""", 1)
-    title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"\s*[|–—-]\s*[^|–—-]*$", "")
-    return F.nullif(F.trim(F.coalesce(F.nullif(box, F.lit("")), title)), F.lit(""))
+    """The search box's value, else the title before the site's name; null without either."""
+    box = F.regexp_extract(html, r"""(?is)<input\b[^>]*?(?:\bid\s*=\s*["']?gh-ac["']?|\bname\s*=\s*["']?_nkw["']?)[^>]*?\bvalue\s*=\s*["']([^"']*)["']""", 1)
+    title = F.regexp_extract(html, r"(?is)<title>(.*?)(?:\s+for sale)?\s*\|\s*eBay\s*</title>", 1)
+    plain = lambda c: F.nullif(clean_text(unescape(c)), F.lit(""))
+    return F.coalesce(plain(box), plain(title))
 
 
 def number_pages(pages: DataFrame, keywords: str = "keywords", order: str = "path") -> DataFrame:
