@@ -285,6 +285,32 @@ def best_fit_unique(spark, d):
     return resolve.best_fit(resolve.scored_pairs(resolve.blocked_pairs(*_er(spark, d)), fuzzy=False))
 
 
+def _second_readings(spark, d):
+    """A second reading of every order against all orders; either side misses some prices and dates."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    price, day = F.floor(F.col("o_totalprice") / 5000) * 5000.0, F.to_date("o_orderdate")
+    left = o.select(key.cast("string").alias("rid"), F.when(key % 3 != 0, price).alias("r_price"), F.when(key % 4 != 0, day).alias("r_date"), F.col("o_orderpriority").alias("r_title"))
+    return left, o.select(key.cast("string").alias("item_id"), F.when(key % 7 != 0, price).alias("price"), F.when(key % 5 != 0, day).alias("sold_date"), F.col("o_orderpriority").alias("title_norm"))
+
+
+_SECOND = """WITH o AS (SELECT o_orderkey AS k, floor(o_totalprice / 5000) * 5000.0 AS price, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS title FROM orders),
+a AS (SELECT CAST(k AS VARCHAR) AS rid, CASE WHEN k % 3 <> 0 THEN price END AS r_price, CASE WHEN k % 4 <> 0 THEN day END AS r_date, title AS r_title FROM o),
+b AS (SELECT CAST(k AS VARCHAR) AS item_id, CASE WHEN k % 7 <> 0 THEN price END AS price, CASE WHEN k % 5 <> 0 THEN day END AS sold_date, title AS title_norm FROM o),
+p AS (SELECT *, 1 + coalesce(CAST(r_date = sold_date AS INT), 0) AS shared FROM a JOIN b ON r_price = price WHERE coalesce(r_date = sold_date, true)
+UNION ALL SELECT *, 1 AS shared FROM a JOIN b ON r_date = sold_date WHERE r_price IS NULL OR price IS NULL)"""
+
+
+@query(f"{_SECOND} SELECT a.rid, count(*) FILTER (shared = 1) AS one, count(*) FILTER (shared = 2) AS two FROM a LEFT JOIN p ON p.rid = a.rid GROUP BY a.rid")
+def blocking_candidates_whole(spark, d):
+    return resolve.candidate_counts(*_second_readings(spark, d))
+
+
+@query(f"""{_SECOND}, t AS (SELECT *, rank() OVER (PARTITION BY rid ORDER BY shared DESC) AS k FROM p WHERE r_title = title_norm)
+SELECT rid, min(item_id) AS item_id, 4 AS tier, max(shared) AS shared FROM t WHERE k = 1 GROUP BY rid HAVING count(DISTINCT (title_norm, price, sold_date)) = 1""")
+def best_fit_whole(spark, d):
+    return resolve.best_fit_by_looks(*_second_readings(spark, d))
+
+
 @query("""WITH d AS (SELECT doc_id, left(text, 60) AS a, left(text, 20 + CAST(doc_id % 40 AS INT)) AS b FROM documents)
 SELECT doc_id, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 4 WHEN length(b) >= 20 THEN 3 ELSE 0 END AS tier, length(b) < length(a) AS truncates FROM d""")
 def title_tier_exact(spark, d):

@@ -90,6 +90,35 @@ def best_fit(scored: DataFrame) -> DataFrame:
     return fits.where(F.col("low") == F.col("high")).select("rid", "item_id", "tier", "shared")
 
 
+def candidate_counts(readings: DataFrame, rows: DataFrame) -> DataFrame:
+    """rid, one and two: of every reading, how many pairs of blocked_pairs share one key and two, from counts of blocks; no pair is made."""
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    cells = rows.distinct().groupBy("price", "sold_date").agg(F.count(F.lit(1)).alias("n"))
+
+    def block(key: str, other: str) -> DataFrame:
+        some = cells.where(F.col(key).isNotNull())
+        return some.groupBy(F.col(key).alias(f"__{key}")).agg(F.sum("n").alias(f"all_{key}"), n(F.sum(F.when(F.col(other).isNull(), F.col("n")))).alias(f"bare_{key}"))
+
+    both = cells.where("price IS NOT NULL AND sold_date IS NOT NULL").withColumnRenamed("n", "__two")
+    asked = readings.select("r_price", "r_date").distinct()
+    by_price, by_date = F.col("r_price") == F.col("__price"), F.col("r_date") == F.col("__sold_date")
+    found = asked.join(block("price", "sold_date"), by_price, "left").join(block("sold_date", "price"), by_date, "left").join(both, (F.col("r_price") == F.col("price")) & (F.col("r_date") == F.col("sold_date")), "left")
+    one = F.when(F.col("r_date").isNull(), n(F.col("all_price"))).when(F.col("r_price").isNull(), n(F.col("all_sold_date"))).otherwise(n(F.col("bare_price")) + n(F.col("bare_sold_date")))
+    counts = found.select(F.col("r_price").alias("p"), F.col("r_date").alias("d"), one.alias("one"), n(F.col("__two")).alias("two"))
+    return readings.distinct().join(counts, F.col("r_price").eqNullSafe(F.col("p")) & F.col("r_date").eqNullSafe(F.col("d"))).groupBy("rid").agg(F.sum("one").alias("one"), F.sum("two").alias("two"))
+
+
+def best_fit_by_looks(readings: DataFrame, rows: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """best_fit of all blocked pairs, found once for readings that look the same, among rows that look the same taken as one."""
+    shown = ["r_title", "r_price", "r_date"]
+    looks = rows.groupBy("title_norm", "price", "sold_date").agg(F.min("item_id").alias("item_id"))
+    asked = readings.groupBy(*shown).agg(F.min("rid").alias("look"))
+    fits = best_fit(scored_pairs(blocked_pairs(asked.withColumnRenamed("look", "rid"), looks), fuzzy)).withColumnRenamed("rid", "look")
+    named = fits.join(asked, "look").select("item_id", "tier", "shared", *[F.col(c).alias(f"__{c}") for c in shown])
+    alike = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in shown]
+    return readings.select("rid", *shown).distinct().join(named, alike[0] & alike[1] & alike[2]).select("rid", "item_id", "tier", "shared")
+
+
 def resolve(readings: DataFrame, real: DataFrame) -> DataFrame:
     """rid and item_id for id-less readings that fit a real row, or an exact-tier synthetic row among themselves.
 

@@ -40,6 +40,29 @@ def test_resolution_leaves_ambiguity(spark):
     assert resolve.resolve(r, apart).count() == 0
 
 
+def test_resolution_of_all_orders(spark, tmp_path):
+    """Order keys beyond 3,000, one hot price and one hot date, against every pair."""
+    made = [(k, 5000.0 * (1 if k % 2 else k % 40) + 1.0, f"2026-01-{1 if k % 3 == 0 else 1 + k % 20:02d}", "ab"[k % 8 == 0]) for k in range(2900, 3300)]
+    spark.createDataFrame(made, "o_orderkey long, o_totalprice double, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    left = [(str(k), p - 1 if k % 3 else None, d if k % 4 else None, t) for k, p, d, t in made]
+    right = [(str(k), p - 1 if k % 7 else None, d if k % 5 else None, t) for k, p, d, t in made]
+    counts, fits = set(), set()
+    for rid, *a in left:
+        n, best = [0, 0, 0], {}
+        for item, *b in right:
+            both = [x == y for x, y in zip(a[:2], b[:2], strict=True) if x is not None and y is not None]
+            if both and all(both):
+                n[len(both)] += 1
+                if a[2] == b[2]:
+                    best.setdefault(len(both), []).append((b, item))
+        counts.add((rid, n[1], n[2]))
+        top = best.get(max(best, default=0), [])
+        if top and all(b == top[0][0] for b, _ in top):
+            fits.add((rid, min(i for _, i in top), 4, max(best)))
+    assert {tuple(r) for r in catalog.QUERIES["blocking_candidates_whole"](spark, str(tmp_path)).collect()} == counts
+    assert fits and {tuple(r) for r in catalog.QUERIES["best_fit_whole"](spark, str(tmp_path)).collect()} == fits
+
+
 def test_limit_must_not_be_negative(spark):
     with pytest.raises(ValueError):
         listing.newest_first(spark.range(1), -1)
