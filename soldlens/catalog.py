@@ -318,10 +318,34 @@ def title_tier_exact(spark, d):
     return t.select("doc_id", resolve.exact_tier(F.col("a"), F.col("b")).alias("tier"), text.truncates(F.col("b"), F.col("a")).alias("truncates"))
 
 
+def _beside_next(t, key, value, by=()):
+    """Each row beside the one with the next key: two different titles."""
+    after = t.select(*by, (F.col(key) - 1).alias(key), F.col(value).alias("next"))
+    return t.join(after, [*by, key], "left")
+
+
+_WHOLE_TIER = "CASE WHEN a IS NULL OR {b} IS NULL OR a = '' OR {b} = '' THEN 0 WHEN a = {b} THEN 4 WHEN least(length(a), length({b})) >= 20 AND (starts_with(a, {b}) OR starts_with({b}, a)) THEN 3 ELSE 0 END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS a, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN text WHEN 1 THEN left(text, length(text) - length(text) // 4) WHEN 2 THEN concat(text, ' ', text) ELSE concat(left(text, length(text) - 1), '#') END AS b FROM documents)
+SELECT d.doc_id, {_WHOLE_TIER.format(b='b')} AS tier, coalesce(length(b) < length(a) AND starts_with(a, b), false) AS truncates, {_WHOLE_TIER.format(b='n.text')} AS next_tier FROM d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1""")
+def title_tier_exact_whole(spark, d):
+    n = "char_length(a)"
+    t = _beside_next(table(spark, d, "documents").select("doc_id", F.col("text").alias("a")), "doc_id", "a")
+    t = t.withColumn("b", F.expr(f"CASE doc_id % 4 WHEN 0 THEN a WHEN 1 THEN left(a, {n} - {n} div 4) WHEN 2 THEN concat(a, ' ', a) ELSE concat(left(a, {n} - 1), '#') END"))
+    return t.select("doc_id", resolve.exact_tier(F.col("a"), F.col("b")).alias("tier"), F.coalesce(text.truncates(F.col("b"), F.col("a")), F.lit(False)).alias("truncates"), resolve.exact_tier(F.col("a"), F.col("next")).alias("next_tier"))
+
+
 @query()
 def title_tier_fuzzy(spark, d):
-    t = table(spark, d, "documents").select("doc_id", text.normalize_title(F.substring("text", 1, 80)).alias("a"))
-    return t.select("doc_id", resolve.fuzzy_tier("a", F.regexp_replace("a", "e", "c")).alias("tier"), F.round(resolve.similarity("a", F.regexp_replace("a", "e", "c")), 4).alias("similarity"))
+    """Whole titles of parts and pages, each against a misreading of itself and against the next one."""
+    parts = table(spark, d, "part").select(F.lit("part").alias("source"), F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("title"))
+    titles = parts.unionByName(table(spark, d, "pages").select(F.lit("page").alias("source"), F.col("page_id").cast("long").alias("id"), urls.page_title(F.col("html")).alias("title")))
+    t = _beside_next(titles.select("source", "id", text.normalize_title("title").alias("a")), "id", "a", by=("source",))
+    misread = F.regexp_replace("a", "e", "c")
+    both = lambda b: (resolve.fuzzy_tier("a", b), F.round(resolve.similarity("a", b), 4))
+    (tier, alike), (next_tier, next_alike) = both(misread), both(F.col("next"))
+    return t.select("source", "id", tier.alias("tier"), alike.alias("similarity"), next_tier.alias("next_tier"), next_alike.alias("next_similarity"))
 
 
 # --- text -----------------------------------------------------------------------------------------------------------

@@ -63,6 +63,18 @@ def test_resolution_of_all_orders(spark, tmp_path):
     assert fits and {tuple(r) for r in catalog.QUERIES["best_fit_whole"](spark, str(tmp_path)).collect()} == fits
 
 
+def test_tiers_of_whole_titles(spark, tmp_path):
+    """Titles that are alike for 80 characters and differ after them, and different rows side by side."""
+    head = "blue bowl " * 10
+    spark.createDataFrame([(1, head + "x" * 60), (2, head + "y" * 60), (3, head + "y" * 59 + "z")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, f"<title>{head}</title>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.source, r.id): (r.next_tier, r.next_similarity) for r in catalog.QUERIES["title_tier_fuzzy"](spark, str(tmp_path)).collect()}
+    assert got["part", 1] == (0, 0.625) and got["part", 2][0] == resolve.MISREAD and got["part", 3][0] == 0 and ("page", 1) in got
+    spark.createDataFrame([(4, head + "x"), (5, head + "x"), (6, head + "xy"), (7, head + "z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.tier, r.truncates, r.next_tier) for r in catalog.QUERIES["title_tier_exact_whole"](spark, str(tmp_path)).collect()}
+    assert got == {4: (4, False, 4), 5: (3, True, 3), 6: (3, False, 0), 7: (0, False, 0)}
+
+
 def test_limit_must_not_be_negative(spark):
     with pytest.raises(ValueError):
         listing.newest_first(spark.range(1), -1)
