@@ -1,7 +1,7 @@
 """URL filters: rules by host suffix and path prefix, and beyond them naive Bayes over segmented names.
 
 Host labels and path parts are concatenated words; a unigram Viterbi splits them with word counts from the pages' own
-text. A multinomial naive Bayes over the words, learned from the urls that rules decide, gives the verdict for the others.
+text: of all words there, those are kept that occur within a name of some url, which leaves every split as it is. A multinomial naive Bayes over the words, learned from the urls that rules decide, gives the verdict for the others.
 
 Defined cases: a null url, or one without "://", has empty host and path and no rule; with no url decided by a rule both
 classes are alike and the verdict is allow, as at any tie; repeated pages are judged each; extra columns are ignored.
@@ -23,10 +23,10 @@ from soldlens.llm._shared import BY_ALNUM, map_arrow, utf8, words
 
 #: Verdict, host and path of each rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Words in the lexicon, the most frequent over all pages (a model size: 50,000 words are under 2 MB), and buckets of the classifier.
-LEXICON_WORDS = 50_000
+#: Buckets of the classifier, and characters of the longest word that the Viterbi places.
 BUCKETS = 1 << 16
 LONGEST_WORD = 24
+PART = re.compile(r"[^\W\d_]+|\d+")
 CLASSES = ("allow", "block")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,9 +54,11 @@ class Segmenter:
     """Unigram Viterbi: a known word costs -log of its share; an unknown one grows dearer by a factor of ten a letter."""
 
     counts: dict[str, int]
+    #: Occurrences of all words, also of those that counts leaves out; None: counts has them all.
+    occurrences: int | None = None
 
     def __post_init__(self) -> None:
-        self.total = math.log(sum(self.counts.values()) + 1)
+        self.total = math.log((sum(self.counts.values()) if self.occurrences is None else self.occurrences) + 1)
         self.cost = {w: self.total - math.log(n) for w, n in self.counts.items()}
         self.memo: dict[str, list[str]] = {}
 
@@ -85,7 +87,7 @@ class Segmenter:
         """h: words of the host, p: words of the path; digits of a part count as one token."""
         out = []
         for mark, text in (("h:", host), ("p:", path.lower())):
-            for part in re.findall(r"[^\W\d_]+|\d+", text):
+            for part in PART.findall(text):
                 out += [mark + "#"] if part[0].isdigit() else [mark + w for w in self.split(part)]
         return out
 
@@ -96,21 +98,41 @@ def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON_WORDS) -> dict[str, int]:
-    """Counts over all pages of their most frequent words of two or more bytes."""
+def _name_pieces(urls: DataFrame) -> DataFrame:
+    """Every run of up to LONGEST_WORD characters within a name of a url: all that the Viterbi can ask for."""
+
+    def parts(batches):
+        for batch in batches:
+            found = {p for host, path in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True) for text in (host, path.lower()) for p in PART.findall(text) if not p[0].isdigit()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["part"])
+
+    def pieces(batches):
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                found = {part[i:j] for i in range(len(part)) for j in range(i + 1, min(len(part), i + LONGEST_WORD) + 1)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["piece"])
+
+    return map_arrow(map_arrow(urls.select("host", "path").distinct(), parts, "part string").distinct(), pieces, "piece string").distinct()
+
+
+def lexicon(pages: DataFrame) -> tuple[dict[str, int], int]:
+    """Counts over all pages of the words of two or more bytes that occur within names of urls, and the occurrences of all such words, kept or not."""
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             a, b, e, _ = words(data, offsets, BY_ALNUM)
             raw = a.tobytes()
-            short = np.flatnonzero((e - b >= 2) & (e - b <= LONGEST_WORD))
-            c = Counter(raw[i:j] for i, j in zip(b[short].tolist(), e[short].tolist(), strict=True))
+            some = np.flatnonzero(e - b >= 2)
+            c = Counter(raw[i:j] for i, j in zip(b[some].tolist(), e[some].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " ")
     rows = map_arrow(pages.select(text.alias("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r[0]: r[1] for r in rows.orderBy(F.col("n").desc(), "word").limit(size).collect()}
+    names = _name_pieces(pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
+    # words that no name holds become one row, of word null
+    known = rows.join(names, F.col("word") == F.col("piece"), "left").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    return {r[0]: r[1] for r in known if r[0] is not None}, sum(r[1] for r in known)
 
 
 def learn(ruled: DataFrame, segmenter: Segmenter) -> np.ndarray:
@@ -138,12 +160,12 @@ def learn(ruled: DataFrame, segmenter: Segmenter) -> np.ndarray:
 def judge(pages: DataFrame, rules=RULES, words: dict[str, int] | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of every row."""
     ruled = with_rules(pages, rules)
-    segmenter = Segmenter(lexicon(pages) if words is None else words)
-    shared = pages.sparkSession.sparkContext.broadcast((segmenter.counts, learn(ruled, segmenter)))
+    segmenter = Segmenter(*lexicon(pages)) if words is None else Segmenter(words)
+    shared = pages.sparkSession.sparkContext.broadcast((segmenter.counts, segmenter.occurrences, learn(ruled, segmenter)))
 
     def run(batches):
-        counts, weights = shared.value
-        seg = Segmenter(counts)
+        counts, occurrences, weights = shared.value
+        seg = Segmenter(counts, occurrences)
         for batch in batches:
             out = []
             for host, path, verdict in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4)), strict=True):

@@ -165,6 +165,22 @@ def test_url_rules(spark):
     assert url_filter.Segmenter({"cheap": 9, "pills": 9, "the": 50}).split("cheappills") == ["cheap", "pills"]
 
 
+def test_url_words_beyond_the_most_frequent(spark):
+    """Rare words among 50,000 that are more frequent, and one of over 24 bytes in fewer characters, split names as a lexicon of all words does."""
+    long = "недвижимостьвсем"
+    common = [f"w{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(50_001)]
+    text = " ".join(common * 2 + ["inedtion", "or", "or", long, "x" * 30])
+    made = [(1, f"http://inedtionor.net/{long}or", f"<p>{text}</p>"), (2, "http://wbbor.org/", None)]
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    every = collections.Counter(text.split())
+    counts, occurrences = url_filter.lexicon(df)
+    assert occurrences == sum(every.values()) and len(counts) < 100 and all(every[w] == n for w, n in counts.items())
+    whole, kept = url_filter.Segmenter(every), url_filter.Segmenter(counts, occurrences)
+    for name, want in (("inedtionor", ["inedtion", "or"]), (f"{long}or", [long, "or"]), ("wbbor", None)):
+        assert kept.split(name) == whole.split(name) and want in (None, kept.split(name))
+    assert url_filter.judge(df).count() == 2
+
+
 def test_importance(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = importance.resample(docs, labels, share=0.5)
