@@ -3,8 +3,10 @@
 Spans come from splitting the text by a pattern and summing the lengths of what lies between the matches. Candidates for
 the entropy test are runs of 20 or more token characters that hold a digit; each belongs to one character class (hex, lower
 alphanumeric or mixed), and a window of 20 characters slides over it. Its sum of c*log2(c) over character counts changes only
-by the character that enters and the one that leaves. The union of windows at or over the class's threshold is a span,
-unless the candidate is on the allow-list or overlaps a span that a pattern found.
+by the character that enters and the one that leaves. What runs from the first window at or over the class's threshold to
+the last is a span. Spans of the patterns are cut out of a run first, and so are its parts between '/', '=' and '-' that
+hold an allowed word; what remains is a candidate if it is long enough and holds a digit. A candidate of an allowed form
+is left out; separators where it was cut do not count for its form.
 
 Defined cases: a null text is empty and has no spans; positions are code points, end exclusive; repeated rows are scanned
 each; columns beside doc_id and text are ignored (`redact` keeps them).
@@ -28,11 +30,11 @@ WINDOW = 20
 CANDIDATE = r"((?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{20,})"
 #: Bits per character that a window must reach, by class.
 LEAST_BITS = {"hex": 3.0, "lower": 3.6, "mixed": 3.8}
-#: What is never a secret by entropy alone.
+#: Words whose part of a run is never a secret by entropy alone, and forms of whole candidates that never are.
+ALLOW_WORDS = "example|sample|dummy|placeholder|changeme|lorem|0123456789|123456789|abcdefghij|qwerty"
+ALLOWED_PART = rf"(?<![A-Za-z0-9+_])([A-Za-z0-9+_]*(?i:{ALLOW_WORDS})[A-Za-z0-9+_]*)"
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|lorem",
-    r"(?i)0123456789|123456789|abcdefghij|qwerty",
     r"^[0-9+/=_-]*$",
     r"^[A-Za-z]+(?:[-_/+=][A-Za-z]+)*[-_/+=]?[0-9]{1,4}$",
     r"^(?:[A-Za-z]{2,}|[0-9]{1,4})(?:[-_/][A-Za-z]{2,}|[-_/][0-9]{1,4})+$",
@@ -95,9 +97,30 @@ def _windows(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(s)), start, step, lambda state: F.struct(state["first"], state["last"]))
 
 
-def _entropy_spans(text: Column, base: Column) -> Column:
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with each character of the spans, which have start and end and may overlap, as a blank."""
+    state = F.aggregate(
+        F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.struct(
+            F.greatest(s["at"], x["end"]).alias("at"),
+            F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.repeat(F.lit(" "), x["end"] - F.greatest(s["at"], x["start"]))).alias("out"),
+        ),
+        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text) - s["at"])),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(state)
+
+
+def _entropy_spans(text: Column, cut: Column) -> Column:
+    """Spans by entropy; cut is the text without what is known or allowed, at the same positions."""
+    token = lambda at: F.substring(text, at, F.lit(1)).rlike("[A-Za-z0-9+/=_-]")
+
+    def form(m: Column) -> Column:
+        head = F.when((m["start"] > 0) & token(m["start"]), F.regexp_replace(m["value"], "^[/=-]+", "")).otherwise(m["value"])
+        return F.when(token(m["end"] + 1), F.regexp_replace(head, "[/=-]+$", "")).otherwise(head)
+
     allowed = lambda s: F.exists(F.array(*[F.lit(p) for p in ALLOW]), lambda p: F.rlike(s, p))
-    free = F.filter(_matches(text, CANDIDATE, 1), lambda m: ~allowed(m["value"]) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter(_matches(cut, CANDIDATE, 1), lambda m: ~allowed(form(m)))
     seen = F.transform(free, lambda m: F.struct(m["start"].alias("start"), _windows(m["value"]).alias("w")))
     return F.transform(F.filter(seen, lambda m: m["w"]["first"] > 0), lambda m: F.struct((m["start"] + m["w"]["first"] - WINDOW).alias("start"), F.lit(len(KINDS)).alias("order"), (m["start"] + m["w"]["last"]).alias("end")))
 
@@ -120,8 +143,10 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
     for i, kind in enumerate(KINDS):
         out = out.withColumn(f"__{kind}", _base_spans(t, i, *KINDS[kind]))
     out = out.withColumn("base", F.concat(*[F.col(f"__{k}") for k in KINDS]))
-    entropy = F.when(t.rlike(CANDIDATE), _entropy_spans(t, F.col("base")))
-    return out.withColumn("spans", F.concat("base", F.coalesce(entropy, F.expr("cast(array() as array<struct<start:int,order:int,end:int>>)")))).drop(*[f"__{k}" for k in KINDS])
+    out = out.withColumn("__rest", F.when(t.rlike(CANDIDATE), _blanked(t, F.col("base"))).otherwise(""))
+    out = out.withColumn("__cut", _blanked(F.col("__rest"), _matches(F.col("__rest"), ALLOWED_PART, 1)))
+    entropy = F.when(F.col("__cut").rlike(CANDIDATE), _entropy_spans(t, F.col("__cut")))
+    return out.withColumn("spans", F.concat("base", F.coalesce(entropy, F.expr("cast(array() as array<struct<start:int,order:int,end:int>>)")))).drop(*[f"__{k}" for k in KINDS], "__rest", "__cut")
 
 
 def secrets(docs: DataFrame) -> DataFrame:
