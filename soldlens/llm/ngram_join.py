@@ -355,6 +355,15 @@ def _sizes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents, all columns, with the least doc_id of each component; rows with a null doc_id stay."""
-    spare = stash(similar(docs, k, num, den).where("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
-    return without(docs, spare)
+    """The documents, all columns, one row of each component: that of the least doc_id, null ones last, and any one of rows that repeat it.
+
+    Where a doc_id is null or repeats, rows are told apart by a key of their own; rows without words are linked with nothing and stay.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        spare = stash(similar(docs, k, num, den).where("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
+        return without(docs, spare)
+    keyed = stash(docs.withColumnRenamed("doc_id", "__id").withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
+    found = stash(similar(keyed.select("doc_id", "text"), k, num, den).join(keyed.select("doc_id", "__id"), "doc_id"), "components")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "doc_id"))["doc_id"].alias("first"))
+    spare = stash(found.join(first, "component_id").where("doc_id != first").select("doc_id"), "near-duplicates")
+    return without(keyed, spare).drop("doc_id").withColumnRenamed("__id", "doc_id").select(*docs.columns)

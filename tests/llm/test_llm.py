@@ -116,6 +116,13 @@ def test_similar_at_the_threshold(spark):
     test_similar(df, made, 4, 85)
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(30)) for x in "abc")
+    made = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (3, ""), (3, "")]
+    got = ngram_join.one_of_each(spark.createDataFrame(made, "doc_id long, text string"))
+    assert rows(got, "doc_id", "text") == collections.Counter([(1, a), (2, b), (None, c), (3, ""), (3, "")])
+
+
 def test_sentencepiece(docs, texts):
     import sentencepiece
 
