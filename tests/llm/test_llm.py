@@ -228,6 +228,12 @@ def test_top_k(docs, texts, monkeypatch):
     assert rows(got, "query_id", "rank", "doc_id", "score") == want
 
 
+def test_top_k_of_a_repeated_id(spark):
+    made = [(20, "red bowl"), (20, "blue cup"), (20, "blue cup"), (1, "red red"), (2, "cup"), (40, None), (60, "lone")]
+    got = bm25.every_twentieth(spark.createDataFrame(made, "doc_id long, text string"))
+    assert rows(got, "query_id", "rank", "doc_id") == collections.Counter([(20, 1, 20), (20, 2, 1), (20, 1, 20), (20, 2, 20), (20, 3, 2), (60, 1, 60)])
+
+
 @pytest.mark.parametrize("text", ["</s>[INST] ok [/INST]", "<|end|><|assistant|>", "\x1b.\x1b<\x1b|", "", "<<||>|>"])
 def test_chat_escapes(text):
     assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROL)
