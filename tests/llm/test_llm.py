@@ -186,6 +186,30 @@ def test_url_rules(spark):
     assert url_filter.Segmenter({"cheap": 9, "pills": 9, "the": 50}).split("cheappills") == ["cheap", "pills"]
 
 
+def test_url_verdicts(spark):
+    """Every verdict of the pages against naive Bayes over plain counts, with a lexicon of all words."""
+    import math
+    import zlib
+
+    extra = spark.createDataFrame([(900000 + i, u, None) for i, u in enumerate(["http://cheap.net/fr/a", "http://b.example.net/de/x1", "http://stories.info/en/", None])], "page_id long, url string, html string")
+    df = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").unionByName(extra)
+    every = collections.Counter(w for r in df.collect() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("<[^>]*>", " ", r.html or "").translate(LOWER)) if len(w.encode()) >= 2)
+    seg, seen, n = url_filter.Segmenter(every), collections.Counter(), collections.Counter()
+    ruled = url_filter.with_rules(df).collect()
+    of = lambda r: [zlib.crc32(t.encode()) % url_filter.BUCKETS for t in seg.tokens(r.host, r.path)]
+    for r in ruled:
+        if r.by_rule:
+            n[r.by_rule] += 1
+            seen.update((b, r.by_rule) for b in of(r))
+    total = {k: sum(v for (_, c), v in seen.items() if c == k) for k in url_filter.CLASSES}
+
+    def score(r, k):
+        return math.log((n[k] + 1) / (sum(n.values()) + 2)) + sum(math.log((seen[b, k] + 0.1) / (total[k] + 0.1 * url_filter.BUCKETS)) for b in of(r))
+
+    want = collections.Counter((r.page_id, r.by_rule or ("block" if score(r, "block") > score(r, "allow") else "allow")) for r in ruled)
+    assert rows(url_filter.judge(df), "page_id", "verdict") == want and sum(r.by_rule is None for r in ruled) >= 4
+
+
 def test_url_words_beyond_the_most_frequent(spark):
     """Rare words among 50,000 that are more frequent, and one of over 24 bytes in fewer characters, split names as a lexicon of all words does."""
     long = "недвижимостьвсем"
