@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text makes a step of its own.
 STEP_BYTES = 2 << 20
 #: Rows and bytes that Spark sends to Python at once: bounds the worker's memory when texts are long.
-ARROW_ROWS, ARROW_BYTES = "1000", str(16 << 20)
+ARROW_ROWS, ARROW_BYTES = "1000", str(4 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one for tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/soldlens"
+    """The folder that driver and executors share: spark.checkpoint.dir, else, in local mode alone, a local one for tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or "/tmp/checkpoints/soldlens"
 
 
 def stash(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
@@ -50,13 +54,32 @@ def release(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with bounded batches; fn maps an iterator of record batches."""
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def arrow_column(fn, kind: str, *columns: Column) -> Column:
+    """A column made from others by fn, which maps an iterator of Arrow arrays (tuples of them for several columns); all else stays in the JVM."""
+    if len(columns) == 1:
+
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            yield from fn(batches)
+
+        return F.arrow_udf(one, kind)(*columns)
+
+    def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from fn(batches)
+
+    return F.arrow_udf(many, kind)(*columns)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that Spark sends to Python by rows and bytes."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def text_of(column: str = "text"):
     """The text with null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -10,15 +10,14 @@ item with a null id is ignored; repeated documents each get their own row; repea
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soldlens.llm._shared import BY_ALNUM, hashes, map_arrow, mix, steps, text_of, utf8, words
+from soldlens.llm._shared import BY_ALNUM, arrow_column, bounded_batches, discard, hashes, mix, stash, steps, text_of, utf8, words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of benchmark text whose tables one pass holds; a larger benchmark is searched in several passes.
@@ -94,11 +93,21 @@ def build(items: list[tuple[str, str | None]], window: int) -> list[Tables]:
     return [Tables(p, n) for n, p in sorted(by_length.items())]
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[int]:
+    """Flat begin, end of the union of ranges, in order and apart."""
+    out: list[int] = []
+    for b, e in sorted(ranges):
+        if out and b <= out[-1]:
+            out[-1] = max(out[-1], e)
+        else:
+            out += (b, e)
+    return out
+
+
 def _pass(tables):
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            data, offsets = utf8(batch.column(names.index("__text")))
+            data, offsets = utf8(batch)
             n_words, spans, owners = [], [], []
             for lo, hi in steps(offsets):
                 part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
@@ -111,70 +120,63 @@ def _pass(tables):
                     first, end, got, ids = cl[r], cl[r + 1], [], set()
                     for t, keys in keyed:
                         for begin, p in t.scan(keys, first, end, word):
-                            got += (begin - first, begin - first + t.length)
+                            got.append((begin - first, begin - first + t.length))
                             ids.update(t.items[p])
                     n_words.append(end - first)
-                    spans.append(got)
+                    spans.append(merged(got))
                     owners.append(sorted(ids))
-            columns = dict(zip(names, batch.columns, strict=True))
-            old_spans, old_owners = columns["__spans"].to_pylist(), columns["__items"].to_pylist()
-            columns["__n"] = pa.array(n_words, pa.int64())
-            columns["__spans"] = pa.array([(o or []) + s for o, s in zip(old_spans, spans, strict=True)], pa.list_(pa.int32()))
-            columns["__items"] = pa.array([sorted({*(o or []), *s}) for o, s in zip(old_owners, owners, strict=True)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+            yield pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.string()))], ["n", "spans", "items"])
 
     return run
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Each row's carried columns with __n (words), __spans (flat begin, end word ranges of hits) and __items (ids, sorted)."""
+_FOUND = "struct<n:long,spans:array<int>,items:array<string>>"
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
+    """The rows, all columns, with __found: n (words), spans (flat begin, end ranges of words hit) and items (ids, sorted).
+
+    A benchmark of over PASS_BYTES is searched in passes; what one finds is written with the rows before the next, so that each
+    task holds the tables of one pass alone.
+    """
     spark = docs.sparkSession
+    bounded_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = 1 + size // PASS_BYTES
     bench = bench.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
-    out = docs.select(*carry, text_of(text).alias("__text"), F.lit(0).cast("long").alias("__n"), F.expr("cast(array() as array<int>)").alias("__spans"), F.expr("cast(array() as array<string>)").alias("__items"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    out, before = docs, None
     for k in range(passes):
-        rows = bench.where(F.col("part") == k).select("item_id", "text").collect()
+        rows = bench.where(F.col("part") == k).select("item_id", "text").collect()  # PASS_BYTES about
         tables = spark.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], window))
-        out = map_arrow(out, _pass(tables), schema)
-    return out.drop("__text")
-
-
-def covered(spans: list[int]) -> int:
+        out = out.withColumn("__new", arrow_column(_pass(tables), _FOUND, text_of(text)))
+        if k:
+            both = lambda f: F.concat(F.col("__found")[f], F.col("__new")[f])
+            out = out.withColumn("__new", F.struct(F.col("__found.n").alias("n"), both("spans").alias("spans"), F.array_sort(F.array_distinct(both("items"))).alias("items"))).drop("__found")
+        out = out.withColumnRenamed("__new", "__found")
+        if k + 1 < passes:
+            out = stash(out, "hits")
+            if before is not None:
+                discard(before)
+            before = out
+    return out
+
+
+def covered(spans: Column) -> Column:
     """Words inside any of the flat begin, end ranges."""
-    n = end = 0
-    for b, e in sorted(zip(spans[::2], spans[1::2], strict=True)):
-        n += max(0, e - max(b, end))
-        end = max(end, e)
-    return n
-
-
-def _digests(batches):
-    for batch in batches:
-        spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
-        hit = [covered(s) for s in spans]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("__n"),
-                pa.array(hit, pa.int64()),
-                pa.array(map(len, items), pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
-                pa.array([h > 0 for h in hit], pa.bool_()),
-            ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+    pairs = F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda i: F.struct(F.get(spans, i).alias("b"), F.get(spans, i + 1).alias("e")))
+    step = lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(r["b"], s["end"]))).alias("n"), F.greatest(s["end"], r["e"]).alias("end"))
+    counted = F.aggregate(F.array_sort(pairs), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda s: s["n"])
+    return F.when(F.size(spans) == 0, 0).otherwise(counted).cast("long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The digest per document; see the module text for the cases."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(search(docs, benchmark, window), _digests, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    found = search(docs.select("doc_id", "text"), benchmark, window)
+    spans, items = F.col("__found.spans"), F.col("__found.items")
+    return found.select("doc_id", F.col("__found.n").alias("n_words"), covered(spans).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, all columns, without those that hold any window of the benchmark."""
-    columns = docs.columns
-    return search(docs, benchmark, window, carry=tuple(columns)).where(F.size("__items") == 0).select(*columns)
+    return search(docs, benchmark, window).where(F.size("__found.items") == 0).drop("__found")

@@ -1,30 +1,33 @@
-"""N-gram Jaccard join: exact links between documents whose shingle sets are similar, and their components.
+"""N-gram Jaccard join through a token-group matrix: exact links between documents whose shingle sets are similar, and their components.
 
-A document's set is a node, named by a 64-bit digest of its shingles' hashes, so exact copies are one node. Similar nodes
-are brought together by signatures with a guarantee: for sizes up to u, sets at the threshold differ in at most d shingles;
-shingles are dealt to k > d parts by hash, so similar sets agree in whole parts. A signature is the digest of one part.
-Each node joins the group of the pivot it shares most signatures with, a pivot being a signature's most central node; links within these groups are checked
-first. What is left is searched with the token-group matrix: each group's token union is stored, a query's overlap with
-the union bounds its similarity with every member, and only groups that reach the threshold are opened, member by member.
-A pair is left out only if it shares no signature, or its group's bound excludes it, or it is in one component already.
+A document's set is a node, named by a 64-bit digest of its shingles' hashes, so exact copies are one node. Then:
 
-No list of pairs within a group is made: candidates are (node, pivot) and (group, group) rows, and a group is opened within
-a task by counting its members per token of the query. Families of copies that lie just under the threshold cost work,
-not rows or memory, in the square of their size. Hot nodes are joined, never
-gathered, so that adaptive execution can split them. All hashes have 64 bits.
+1. Of each set the smallest hashes, twice as many as it may differ in and one more, are compared over all documents. A similar
+   set shares at least half of them, so a node that shares fewer with the others has no link. What is left is partitioned by
+   its smallest shared token: nodes similar to each other mostly agree in it. Partitions of over GROUP_TOKENS tokens are dealt
+   to chunks, each with the partition's most central node, the pivot.
+2. Within a chunk links are found exactly. Each set of linked members is a group, and its token union is stored: a row of the matrix.
+   Groups of one partition that hold its pivot have one root.
+3. A query's overlap with a group's union bounds its overlap with every member. Tokens whose groups all have one root cannot
+   bind a query to another component, so a group with too few other tokens for its smallest member is left out, and again
+   until that ends. What is left is matched by its rarest tokens, the bound is taken against the stored unions, and only
+   groups that reach the threshold are opened: their members are read and compared.
+
+A pair is left out only if a bound excludes it or it is in one component already. No list of pairs within a group is made.
+A chunk is held in one task, and so is an opened group; neither exceeds about GROUP_TOKENS tokens, or one document. Hot nodes
+and tokens are joined, never gathered, so that adaptive execution can split them. All hashes have 64 bits.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with nothing; a text of
 fewer words than a shingle is one shingle; a row with a null doc_id is linked with nothing and has a null component_id;
-repeated rows give repeated results; an empty table gives no rows.
+repeated rows give repeated results; an empty table gives no rows; columns beside doc_id and text are ignored
+(`one_of_each` keeps them).
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soldlens.llm._shared import BY_SPACE, discard, hashes, map_arrow, mix, release, stash, steps, text_of, utf8, words
@@ -32,24 +35,17 @@ from soldlens.llm._shared import BY_SPACE, discard, hashes, map_arrow, mix, rele
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _EDGE = np.uint64(0xA0761D6478BD642F)
 _MASK = (1 << 64) - 1
-#: Nodes whose copies a task leaves out of the signatures; a bound on memory only, as copies are one node anyway.
+#: Nodes whose copies a task gives no tokens again; a bound on memory only, as copies are one node anyway.
 REMEMBERED = 200_000
-#: Bits of the filter that says which documents' sets are needed (8 MB), and tokens in a group's union, about.
-FILTER_BITS = 1 << 26
-GROUP_TOKENS = 1 << 18
-
-
-@cache
-def size_classes(num: int, den: int) -> list[tuple[int, int, int]]:
-    """(largest size, largest difference d, parts k) by class; sets at num/den similarity are in one class or in neighbours."""
-    out, low = [], 1
-    while low < 1 << 28:
-        high = max(low, low * den // num)
-        d = (den - num) * 2 * high // (den + num)
-        spare = 0 if d < 4 else 1 if d < 8 else 2 + d // 6
-        out.append((high, d, d + 1 + spare))
-        low = high + 1
-    return out
+#: Tokens of a chunk, about, and queries that are held against one group in a task.
+GROUP_TOKENS, QUERIES = 1 << 16, 1024
+#: Rows of numbers that are broadcast at most; larger sides are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def needed(n: int, num: int, den: int) -> int:
+    """Tokens that a set of n must share with any similar one."""
+    return -(-n * num // den)
 
 
 def shingle_rows(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -74,138 +70,204 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, k: int):
             yield none
 
 
+def sets_of(batch: pa.RecordBatch, column: int, k: int):
+    """The shingle sets of a column of texts, row by row."""
+    data, offsets = utf8(batch.column(column))
+    for lo, hi in steps(offsets):
+        yield from shingle_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+
+
 def digest(tokens: np.ndarray) -> int:
     """The node of a set, as a signed 64-bit number."""
     with np.errstate(over="ignore"):
         return int(mix(np.array([np.sum(mix(tokens + _EDGE), dtype=np.uint64)]) + np.uint64(len(tokens)))[0].astype(np.int64))
 
 
-def signatures(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """Digests of the parts in the set's own size class and the next, and how many of them any similar set shares at least."""
-    n, classes = len(tokens), size_classes(num, den)
-    own = next(i for i, c in enumerate(classes) if n <= c[0])
-    mixed, out, needs = mix(tokens ^ _STEP), [], []
-    for i in (own, own + 1):
-        if i > own and n * den < num * (classes[own][0] + 1):
-            continue  # no set of the next class is near enough in size
-        _, d, k = classes[i]
-        part = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        total = np.zeros(k, np.uint64)
-        np.add.at(total, part.astype(np.int64), mixed)
-        sig = mix(total + np.arange(k, dtype=np.uint64) * _EDGE + np.uint64((i + 1) * int(_STEP) & _MASK))
-        full = np.bincount(part.astype(np.int64), minlength=k) > 0
-        # fewer empty parts than agreeing ones: some agreeing part has tokens, and the empty ones need no signature
-        empty = k - np.count_nonzero(full)
-        out.append(sig[full] if empty < k - d else sig)
-        needs.append(k - d - empty if empty < k - d else 1)
-    return np.concatenate(out).astype(np.int64), min(needs)
-
-
-def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles), need and sigs (both null where the task has given them for the node)."""
+def _longs(arrays: list) -> pa.Array:
+    """A list<long> column from arrays of 64-bit numbers and None."""
+    sizes = np.array([0, *(0 if x is None else len(x) for x in arrays)])
+    full = [x for x in arrays if x is not None and len(x)]
+    flat = np.concatenate(full).view(np.int64) if full else np.zeros(0, np.int64)
+    mask = pa.array([x is None for x in arrays], pa.bool_()) if any(x is None for x in arrays) else None
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat), mask=mask)
+
+
+def _heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, node (null without shingles) and head: the set's smallest tokens, null where the task has given them or none can link."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         known: set[int] = set()
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            n, node, need, sigs = [], [], [], []
-            for lo, hi in steps(offsets):
-                for s in shingle_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k):
-                    x = digest(s) if len(s) else None
-                    n.append(len(s))
-                    node.append(x)
-                    if x is None or x in known:
-                        need.append(None)
-                        sigs.append(None)
-                    else:
-                        if len(known) < REMEMBERED:
-                            known.add(x)
-                        own, least = signatures(s, num, den)
-                        need.append(least)
-                        sigs.append(own)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(need, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "need", "sigs"])
+            n, node, heads = [], [], []
+            for s in sets_of(batch, 1, k):
+                size = len(s)
+                x = digest(s) if size else None
+                n.append(size)
+                node.append(x)
+                # the nearest other set has one token more
+                if x is None or x in known or size * den < num * (size + 1):
+                    heads.append(None)
+                    continue
+                if len(known) < REMEMBERED:
+                    known.add(x)
+                heads.append(s[: 2 * (size - needed(size, num, den)) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _longs(heads)], ["doc_id", "n_shingles", "node", "head"])
 
-    return map_arrow(docs.select("doc_id", text_of().alias("t")).where("doc_id IS NOT NULL"), run, f"doc_id {kind}, n_shingles long, node long, need long, sigs array<long>")
+    return map_arrow(docs.select("doc_id", text_of().alias("t")).where("doc_id IS NOT NULL"), run, f"doc_id {kind}, n_shingles long, node long, head array<long>")
 
 
-def _places(key: str):
-    return [F.pmod(F.xxhash64(F.lit(seed), key), F.lit(FILTER_BITS)) for seed in (1, 2)]
+def _few(small: DataFrame) -> DataFrame:
+    """small, to be broadcast if it has BROADCAST_ROWS at most; it must be stashed and narrow."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def _filter(ids: DataFrame):
-    """A Bloom filter of the doc_ids, broadcast: FILTER_BITS bits however many they are."""
-    places = ids.select(F.explode(F.array(*_places("doc_id"))).alias("p"))
-    cells = places.groupBy(F.expr("p div 63").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 63 + 1, np.int64)
-    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
-    return ids.sparkSession.sparkContext.broadcast(bits)
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents, all columns, whose doc_id is not in ids, a stashed table."""
+    return docs.join(_few(ids), "doc_id", "left_anti")
+
+
+def _partitioned(found: DataFrame, num: int, den: int) -> DataFrame:
+    """node, doc_id (of one document), key, places (chunks of the key's partition) and lead (the pivot leads) of all nodes that may have a link."""
+    heads = found.where("head IS NOT NULL").select("doc_id", "node", F.col("n_shingles").alias("n"), F.explode("head").alias("token"))
+    shared = heads.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    held = heads.join(shared, "token").groupBy("doc_id", "node", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("key"))
+    held = held.withColumn("o", F.expr(f"(n * {num} + {den - 1}) div {den}"))
+    enough = held.where(f"shared >= o - (o * {num} + {den - 1}) div {den} + 1")
+    nodes = enough.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max(F.expr("shared / (2 * (n - o) + 1)")).alias("lead"), F.min("key").alias("key"))
+    nodes = stash(nodes, "nodes-with-shared-tokens")
+    sizes = nodes.groupBy("key").agg(F.sum("n").alias("tokens"), F.max(F.struct("lead", "node"))["node"].alias("pivot"))
+    big = stash(sizes.where(F.col("tokens") > GROUP_TOKENS).select("key", "pivot", F.ceil(F.col("tokens") / GROUP_TOKENS).cast("int").alias("chunks")), "partitions-in-chunks")
+    is_pivot = F.coalesce(F.col("pivot") == F.col("node"), F.lit(False))
+    chunk = F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.lit(0))
+    places = F.when(is_pivot, F.expr("sequence(0, chunks - 1)")).otherwise(F.array(chunk))
+    placed = nodes.join(_few(big), "key", "left")
+    return placed.select("node", "doc_id", "key", places.alias("places"), F.when(is_pivot, 2.0).otherwise(F.col("lead")).alias("lead"))
 
 
-def _may_be(shared, batch: pa.RecordBatch, first: int) -> np.ndarray:
-    """Which rows may be in the filter; the batch's two places are in columns first and first + 1."""
-    keep = np.ones(batch.num_rows, bool)
-    for c in (first, first + 1):
-        p = batch.column(c).to_numpy()
-        keep &= (shared.value[p // 63] >> (p % 63)) & 1 == 1
-    return keep
+def _token_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted (node, doc_id, key, places, lead) with n and tokens, from the texts of these documents alone."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches):
+        for batch in batches:
+            at, n, tokens = [], [], []
+            for i, (s, node) in enumerate(zip(sets_of(batch, 5, k), batch.column(1).to_pylist(), strict=True)):
+                if len(s) and digest(s) == node:  # a doc_id may repeat with other texts
+                    at.append(i)
+                    n.append(len(s))
+                    tokens.append(s)
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:5], pa.array(n, pa.int64()), _longs(tokens)], ["doc_id", "node", "key", "places", "lead", "n", "tokens"])
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents, all columns, whose doc_id is not in ids; only those that a Bloom filter does not clear are joined."""
-    shared, columns = _filter(ids), docs.columns
-    source = docs.select(*columns, *[p.alias(f"__p{i}") for i, p in enumerate(_places("doc_id"))])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    texts = docs.select("doc_id", text_of().alias("t")).join(_few(wanted), "doc_id").select("doc_id", "node", "key", "places", "lead", "t")
+    return map_arrow(texts, run, f"doc_id {kind}, node long, key long, places array<int>, lead double, n long, tokens array<long>").drop("doc_id")
 
-    def part(wanted: bool):
-        def run(batches):
-            for batch in batches:
-                rows = batch.filter(pa.array(_may_be(shared, batch, len(columns)) == wanted))
-                yield pa.RecordBatch.from_arrays(rows.columns[: len(columns)], columns)
 
-        return map_arrow(source, run, schema)
+class Members:
+    """Sets of one chunk or group, by token: what a query shares with each of them is one pass over its own tokens."""
 
-    return part(False).union(part(True).join(ids, "doc_id", "left_anti").select(*columns))
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.tokens, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
 
+    def union(self) -> np.ndarray:
+        return np.unique(self.tokens)
 
-def _token_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted (node, doc_id and more) with n and tokens of each node, read again from one document each.
+    def similar(self, query: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which members are similar to the query."""
+        begin, end = np.searchsorted(self.tokens, query), np.searchsorted(self.tokens, query, "right")
+        n = end - begin
+        stop = np.cumsum(n)
+        both = np.bincount(self.owner[np.arange(stop[-1]) + np.repeat(begin - (stop - n), n)], minlength=len(self.size))
+        return np.flatnonzero(both * den >= (len(query) + self.size - both) * num)
 
-    A Bloom filter of fixed size, made natively from the wanted doc_ids, spares the others the work; the join then is exact.
-    """
-    shared = _filter(wanted)
 
-    def run(batches):
-        for batch in batches:
-            part = batch.filter(pa.array(_may_be(shared, batch, 2)))
-            data, offsets = utf8(part.column(1))
-            nodes, tokens = [], []
-            for lo, hi in steps(offsets):
-                for s in shingle_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k):
-                    nodes.append(digest(s) if len(s) else None)
-                    tokens.append(s.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "node", "tokens"])
+class Joined:
+    """Which of n things are joined: a forest of parents."""
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.where("doc_id IS NOT NULL").select("doc_id", text_of().alias("t"), *[p.alias(f"p{i}") for i, p in enumerate(_places("doc_id"))])
-    found = map_arrow(source, run, f"doc_id {kind}, node long, tokens array<long>").where("node IS NOT NULL")
-    return found.join(wanted, ["doc_id", "node"]).drop("doc_id").withColumn("n", F.size("tokens"))
+    def __init__(self, n: int) -> None:
+        self.of, self.parts = list(range(n)), n
+
+    def top(self, i: int) -> int:
+        while self.of[i] != i:
+            self.of[i] = self.of[self.of[i]]
+            i = self.of[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = sorted((self.top(i), self.top(j)))
+        self.of[b] = a
+        self.parts -= a != b
+        return a != b
 
 
-def _links(a: DataFrame, b: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) whose sets are similar; a: x, y, nx, tx and b: y, ny, ty."""
-    both = a.join(b, "y").where((F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
-    shared = F.size(F.array_intersect("tx", "ty"))
-    return both.where(shared * den >= (F.col("nx") + F.col("ny") - shared) * num).select("x", "y")
+def _runs(batches, keys: int):
+    """Runs of rows with equal values in the first `keys` columns, as lists of (batch, row); the batches are sorted by them."""
+    run, last = [], None
+    for batch in batches:
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(keys)), strict=True)):
+            if run and key != last:
+                yield last, run
+                run = []
+            last = key
+            run.append((batch, i))
+    if run:
+        yield last, run
 
 
-def _as(sets: DataFrame, side: str, *more) -> DataFrame:
-    return sets.select(F.col("node").alias(side), *more, F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}"))
+def _list_at(batch: pa.RecordBatch, column: int, i: int) -> np.ndarray:
+    c = batch.column(column)
+    lo, hi = c.offsets[i].as_py(), c.offsets[i + 1].as_py()
+    return c.values.to_numpy()[lo:hi]
+
+
+def _grouped(num: int, den: int):
+    """Rows (key, chunk, node, n, tokens), the pivot first in its chunk, to one row per group: group, root, least (size), nodes and tokens."""
+
+    def run(batches):
+        out: list[tuple] = []
+
+        def made():
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(5)]
+            arrays = [*(pa.array(columns[c], pa.int64()) for c in range(3)), *(_longs(list(columns[c])) for c in (3, 4))]
+            return pa.RecordBatch.from_arrays(arrays, ["group", "root", "least", "nodes", "tokens"])
+
+        size = 0
+        for (_, chunk), rows in _runs(batches, 2):
+            own: dict[int, np.ndarray] = {}
+            for batch, i in rows:
+                own.setdefault(batch.column(2)[i].as_py(), _list_at(batch, 4, i))
+            nodes, sets = list(own), list(own.values())
+            joined = Joined(len(nodes))
+            if len(nodes) > 1:
+                members = Members(sets)
+                for i in range(len(nodes)):
+                    if i == 0 or joined.top(i) != 0:
+                        for j in members.similar(sets[i], num, den).tolist():
+                            joined.join(i, j)
+                        if joined.parts == 1:
+                            break
+            parts: dict[int, list[int]] = {}
+            for i in range(len(nodes)):
+                parts.setdefault(joined.top(i), []).append(i)
+            for top, part in parts.items():
+                tokens = sets[top] if len(part) == 1 else np.unique(np.concatenate([sets[i] for i in part]))
+                group = int(mix(np.array([nodes[top]], np.int64).view(np.uint64) + np.uint64(chunk * int(_EDGE) & _MASK))[0].astype(np.int64))
+                out.append((group, nodes[top], min(len(sets[i]) for i in part), np.array([nodes[i] for i in part], np.int64), tokens))
+                size += len(tokens)
+            if size > 1 << 18:
+                yield made()
+                out, size = [], 0
+        yield made()
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root, the least node of its component, for every node with a link: least labels spread, then point onward."""
+    """node and root, the least node of its component, for every node with a link (x, y): least labels spread, then point onward."""
     edges = stash(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = stash(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")), "roots")
     while True:
@@ -213,133 +275,127 @@ def components(links: DataFrame) -> DataFrame:
         spread = labels.join(near.select(F.col("x").alias("node"), "near"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         to = labels.select(F.col("node").alias("root"), F.col("root").alias("onward"))
         new = stash(spread.join(to, "root", "left").select("node", "was", F.least("root", F.coalesce("onward", "root")).alias("root")), "roots")
+        discard(labels)
         labels = new.select("node", "root")
         if new.where("was <> root").isEmpty():
+            discard(edges)
             return labels
 
 
-def _search_groups(cand: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between nodes that share a signature but are not yet in one component, by the token-group matrix.
+def _beside(side: DataFrame, asked: DataFrame, fn, schema: str) -> DataFrame:
+    """fn over runs of one group: its side rows (group, root, tokens) first, then rows that ask (group, node, root, n, tokens).
 
-    cand: sig, node, pivot; roots: node, root for linked nodes; sets: node, group (its pivot), need, n, tokens.
+    A group asked by many is repeated, each copy for about QUERIES of them.
     """
-    root_of = lambda df, node, name: df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    left = root_of(root_of(cand, "node", "root"), "pivot", "pivot_root").where("root <> pivot_root").select("sig", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    left = stash(left, "left")
-    if left.isEmpty():
-        return left.select("x", F.col("x").alias("y")).limit(0)
-    # groups: a pivot's nodes, in chunks of about GROUP_TOKENS tokens
-    shared = stash(cand.join(left.select("sig").distinct(), "sig", "left_semi").select("sig", "node"), "left-signatures")
-    some = sets.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    some = stash(root_of(some, "node", "root"), "left-sets")
-    tree = some.select("node", "root", "need", "n", "group")
-    for _ in range(2):  # pivots have pivots: four steps up the tree bring the parts of a family together
-        up = tree.select(F.col("node").alias("group"), F.col("group").alias("__up"))
-        tree = stash(tree.join(up, "group", "left").select("node", "root", "need", "n", F.coalesce("__up", "group").alias("group")), "trees")
-    chunks = tree.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("chunks"))
-    chunked = tree.join(chunks, "group").select("node", "root", "need", F.xxhash64("group", F.pmod(F.xxhash64("node"), "chunks")).alias("group"))
-    asking = left.select(F.col("x").alias("node")).distinct().withColumn("asks", F.lit(True))
-    members = stash(chunked.join(asking, "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "groups")
-    # Group pairs not of one component as a whole. Of the signatures that a similar pair shares, each is left for one of the
-    # two at least, so half of them are left for one: groups that share fewer with an asker's group need no opening.
-    held = lambda df, g, *more: df.groupBy("sig", F.col("group").alias(g)).agg(F.min("root").alias(f"{g}_low"), F.max("root").alias(f"{g}_high"), *more)
-    askers = held(left.select("sig", F.col("x").alias("node")).join(members, "node"), "a", F.min("need").alias("need"))
-    holders = held(shared.join(members, "node"), "b")
-    apart = (F.col("a_low") != F.col("a_high")) | (F.col("b_low") != F.col("b_high")) | (F.col("a_low") != F.col("b_low"))
-    pairs = askers.join(holders, "sig").where(apart).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need")).where("2 * n >= need").select("a", "b")
-    full = stash(some.join(members.select("node", F.col("group").alias("g"), "asks"), "node").select(F.col("g").alias("group"), "asks", F.struct("node", "root", "tokens").alias("m")), "members")
-    block = lambda df, c: df.groupBy(F.col("group").alias(c)).agg(F.collect_list("m").alias(f"m{c}"))
-    sides = block(full.where("asks"), "a"), block(full, "b")
-    return map_arrow(pairs.join(sides[0], "a").join(sides[1], "b").select("ma", "mb"), _opened(num, den), "x long, y long")
+    many = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("pieces"))
+    side = side.join(many, "group").select("group", F.explode(F.expr("sequence(0, pieces - 1)")).alias("piece"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("node"), "root", "tokens")
+    asked = asked.join(many, "group").select("group", F.pmod(F.xxhash64("node"), "pieces").cast("int").alias("piece"), F.lit(1).alias("asks"), "node", "root", "tokens")
+    rows = side.unionByName(asked).repartition("group", "piece").sortWithinPartitions("group", "piece", "asks")
+    return map_arrow(rows, fn, schema)
 
 
-def _opened(num: int, den: int):
-    """Links of the members of one group, as queries, with those of another, as far as they join components."""
+def _bounded(num: int, den: int):
+    """The rows that ask (group, node) whose overlap with the group's stored union reaches the threshold."""
 
-    def fields(rows: pa.ListArray, i: int):
-        lo, hi = rows.offsets[i].as_py(), rows.offsets[i + 1].as_py()
-        members = rows.values.slice(lo, hi - lo)
-        tokens = members.field("tokens")
-        return members.field("node").to_numpy(), members.field("root").to_numpy(), tokens.offsets.to_numpy(), tokens.values.to_numpy()
+    def run(batches):
+        for (group, _), rows in _runs(batches, 2):
+            union, found = np.zeros(0, np.int64), []
+            for batch, i in rows:
+                tokens = _list_at(batch, 5, i)
+                if not batch.column(2)[i].as_py():
+                    union = np.sort(tokens)
+                    continue
+                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                if np.count_nonzero(union[at] == tokens) >= needed(len(tokens), num, den):
+                    found.append(batch.column(3)[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([group] * len(found), pa.int64()), pa.array(found, pa.int64())], ["group", "node"])
+
+    return run
+
+
+def _opened(num: int, den: int):
+    """Links (x, y) of roots, from rows that ask to members of an opened group."""
 
     def run(batches):
-        for batch in batches:
-            links: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                (xs, x_roots, x_at, x_tokens), (ys, y_roots, y_at, y_tokens) = fields(batch.column(0), i), fields(batch.column(1), i)
-                size = np.diff(y_at)
-                flat = y_tokens[y_at[0] : y_at[-1]]
-                order = np.argsort(flat)
-                tokens, owner = flat[order], np.repeat(np.arange(len(ys)), size)[order]
-                known = {int(r): int(r) for r in (*x_roots, *y_roots)}
-
-                def top(r: int, known=known) -> int:
-                    while known[r] != r:
-                        r = known[r]
-                    return r
-
-                for j in range(len(xs)):
-                    own = x_tokens[x_at[j] : x_at[j + 1]]
-                    begin, end = np.searchsorted(tokens, own), np.searchsorted(tokens, own, "right")
-                    if np.count_nonzero(end > begin) * den < len(own) * num:
-                        continue  # the token union bounds the overlap with every member
-                    n = end - begin
-                    stop = np.cumsum(n)
-                    both = np.bincount(owner[np.arange(stop[-1]) + np.repeat(begin - (stop - n), n)], minlength=len(ys))
-                    for m in np.flatnonzero(both * den >= (len(own) + size - both) * num).tolist():
-                        a, b = top(int(x_roots[j])), top(int(y_roots[m]))
-                        if a != b:
-                            known[max(a, b)] = min(a, b)
-                            links.append((int(xs[j]), int(ys[m])))
-            yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in links], pa.int64()) for c in (0, 1)], ["x", "y"])
+        for _, rows in _runs(batches, 2):
+            sets, roots, members, links = [], [], None, set()
+            for batch, i in rows:
+                tokens, root = _list_at(batch, 5, i), batch.column(4)[i].as_py()
+                if not batch.column(2)[i].as_py():
+                    sets.append(tokens)
+                    roots.append(root)
+                    continue
+                members = members or Members(sets)
+                if (root, roots[0]) not in links and len(members.similar(tokens, num, den)):
+                    links.add((root, roots[0]))  # the members of a group have one root
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["x", "y"])
 
     return run
 
 
-def _candidates(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, n_shingles, node and need of every row; sig, node and pivot where two nodes or more share a signature."""
-    found = stash(_sets(docs, k, num, den), "shingle-sets")
-    sigs = found.where("sigs IS NOT NULL").select("node", F.explode("sigs").alias("sig"))
-    per = Window.partitionBy("sig")
-    shared = sigs.select("sig", "node", F.min("node").over(per).alias("pivot"), F.max("node").over(per).alias("last"))
-    cand = stash(shared.where("pivot < last").select("sig", "node", "pivot").distinct(), "signatures")
-    # a node with fewer shared signatures than any similar set must share with it has no link
-    need = found.where("need IS NOT NULL").groupBy("node").agg(F.min("need").alias("need"))
-    enough = cand.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(need, "node").where("n >= need").select("node", "n")
-    # the pivot of a signature is its node with most shared signatures: the one most like the others
-    cand = cand.select("sig", "node").join(enough.select("node", "n"), "node").withColumn("pivot", F.max(F.struct("n", "node")).over(per)["node"]).withColumn("several", F.min("node").over(per) < F.max("node").over(per))
-    cand = stash(cand.where("several").select("sig", "node", "pivot"), "shared-signatures")
-    rows = stash(found.select("doc_id", "n_shingles", "node", "need"), "nodes")
-    discard(found)
-    return rows, cand
+def _search(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Links (x, y) between roots, found through the stored unions; None where the bounds leave nothing to ask."""
+    matrix = groups.select("group", "root", "least", F.explode("tokens").alias("token"))
+    need = lambda n: F.expr(f"({n} * {num} + {den - 1}) div {den}")
+    before = None
+    while True:
+        # tokens in groups of several roots, with the number of groups: the rarer, the earlier in a query's order
+        open_ = matrix.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("groups")).where("lo < hi").select("token", "groups")
+        alive = matrix.join(open_, "token").groupBy("group", "root", "least").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need("least")).select("group", "root")
+        alive = stash(alive, "groups-left")
+        n = alive.count()
+        if n == 0:
+            return None
+        if before is not None and n > 0.9 * before:
+            break
+        before, matrix = n, matrix.join(_few(alive.select("group")), "group", "left_semi")
+    members = stash(groups.select("group", "root", F.explode("nodes").alias("node")).join(_few(alive.select("group")), "group", "left_semi"), "members-left")
+    asking = stash(sets.select("node", "n", "tokens").join(_few(members), "node").select("group", "root", "node", "n", "tokens"), "queries")
+    by_rarity = asking.select("group", "root", "node", "n", F.explode("tokens").alias("token")).join(open_, "token").groupBy("group", "root", "node", "n").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("o"))
+    first = by_rarity.where(F.size("o") >= need("n")).select("group", "root", "node", F.explode(F.slice("o", F.lit(1), (F.size("o") - need("n") + 1).cast("int"))["token"]).alias("token"))
+    first = stash(first, "rarest-tokens")
+    other = first.select("token", F.col("group").alias("of"), F.col("root").alias("y")).distinct()
+    pairs = first.join(other, "token").where("root < y").select("node", F.col("of").alias("group")).distinct()
+    asked = lambda p: p.join(asking.select("node", "root", "tokens").dropDuplicates(["node"]), "node").select("group", "node", "root", "tokens")
+    reach = stash(_beside(groups.join(_few(alive.select("group")), "group", "left_semi").select("group", "root", "tokens"), asked(pairs), _bounded(num, den), "group long, node long"), "groups-to-open")
+    opened = asking.join(reach.select("group").distinct(), "group", "left_semi").select("group", "root", "tokens")
+    links = stash(_beside(opened, asked(reach), _opened(num, den), "x long, y long").distinct(), "links")
+    for t in (members, asking, first, reach):
+        discard(t)
+    return links
 
 
 def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row; documents link at num/den Jaccard similarity of k-word shingles."""
-    rows, cand = _candidates(docs, k, num, den)
-    release(docs.sparkSession)
-    # the pivot that a node shares most signatures with; a pivot of its own group comes last
-    counts = cand.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("node").agg(F.min(F.struct((F.col("pivot") == F.col("node")).alias("own"), (-F.col("n")).alias("n"), "pivot")).alias("b")).select("node", F.col("b.pivot").alias("group"))
-    best = stash(best, "groups-by-pivot")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("need").alias("need"))
-    pivots = best.select(F.col("group").alias("node")).distinct().withColumn("pivot", F.lit(True))
-    wanted = stash(nodes.join(best, "node").join(pivots, "node", "left"), "wanted")
+    spark = docs.sparkSession
+    found = stash(_heads(docs, k, num, den), "heads")
+    wanted = stash(_partitioned(found, num, den), "partitions")
+    rows = stash(found.select("doc_id", "n_shingles", "node"), "nodes")
+    discard(found)
+    release(spark)
     sets = stash(_token_sets(docs, wanted, k), "token-sets")
-    release(docs.sparkSession)
-    links = stash(_links(_as(sets.where("node <> group"), "x", F.col("group").alias("y")), _as(sets.where("pivot"), "y"), num, den).distinct(), "links")
-    roots = components(links)
-    more = stash(_search_groups(cand, roots, sets, num, den), "links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    own = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dealt = sets.select("key", F.explode("places").alias("chunk"), "node", "n", "tokens", "lead").repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.col("lead").desc(), "node")
+    groups = stash(map_arrow(dealt.drop("lead"), _grouped(num, den), "group long, root long, least long, nodes array<long>, tokens array<long>"), "groups")
+    release(spark)
+    links = _search(groups, sets, num, den)
+    linked = groups.select("root", F.explode("nodes").alias("node")).distinct()
+    if links is not None:
+        roots = components(links)
+        linked = linked.join(roots.select(F.col("node").alias("root"), F.col("root").alias("onward")), "root", "left").select("node", F.coalesce("onward", "root").alias("root"))
+    linked = stash(linked, "linked")
+    discard(sets)
+    discard(groups)
+    release(spark)
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+    own = nodes.join(linked, "node", "left").where("rows > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
+    own = stash(own.select("node", "doc_id", "root"), "copies")
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = own.select("node", "root").join(least, "root").select("node", "component_id")
-    linked = rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     if docs.schema["doc_id"].nullable:
         empty = docs.where("doc_id IS NULL").select("doc_id", text_of().alias("t"))
-        linked = linked.union(_sizes(empty, k))
-    return linked
+        out = out.union(_sizes(empty, k))
+    return out
 
 
 def _sizes(rows: DataFrame, k: int) -> DataFrame:
@@ -347,8 +403,7 @@ def _sizes(rows: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            n = [len(s) for lo, hi in steps(offsets) for s in shingle_rows(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)]
+            n = [len(s) for s in sets_of(batch, 1, k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(0)], ["doc_id", "n_shingles", "component_id"])
 
     return map_arrow(rows, run, f"doc_id {kind}, n_shingles long, component_id {kind}")
@@ -360,8 +415,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     Where a doc_id is null or repeats, rows are told apart by a key of their own; rows without words are linked with nothing and stay.
     """
     if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
-        spare = stash(similar(docs, k, num, den).where("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
-        return without(docs, spare)
+        spare = stash(similar(docs, k, num, den).where("doc_id != component_id").select("doc_id"), "near-duplicates")
+        return without(docs, spare).select(*docs.columns)
     keyed = stash(docs.withColumnRenamed("doc_id", "__id").withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
     found = stash(similar(keyed.select("doc_id", "text"), k, num, den).join(keyed.select("doc_id", "__id"), "doc_id"), "components")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "doc_id"))["doc_id"].alias("first"))

@@ -21,14 +21,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soldlens.llm._shared import map_arrow, stash, text_of, utf8
+from soldlens.llm._shared import arrow_column, bounded_batches, map_arrow, stash, text_of, utf8
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 20_000
 HELD_OUT = 5
+#: Decoded spans that a task remembers, and their length: bounds on memory only.
+REMEMBERED, REMEMBERED_CHARS = 50_000, 64
 #: A feature is taken at this precision and with so many toxic documents that no other explains.
 PRECISION, SUPPORT = 0.9, 3
 #: A toxic document counts as explained once so many features hold: insults seldom come alone, and each must be learned.
@@ -81,6 +83,14 @@ def language_model(counts: np.ndarray) -> list[float]:
     return (-np.log(tri)).ravel().tolist()
 
 
+def _said(path: tuple | None) -> str:
+    parts = []
+    while path is not None:
+        path, out = path
+        parts.append(out)
+    return "".join(reversed(parts))
+
+
 @dataclass
 class Restorer:
     """Decodes the suspicious spans of texts; remembers what spans it has decoded."""
@@ -109,10 +119,10 @@ class Restorer:
         if span in self.memo:
             return self.memo[span]
         cost, cls = self.cost, _CLASS_LIST
-        states = {0: (0.0, "")}
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # cost, and the path as (path before, text)
         for options in [*self._lattice(span, spaced), [("\n", 0.0)]]:
-            new: dict[int, tuple[float, str]] = {}
-            for state, (c, said) in states.items():
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for state, (c, path) in states.items():
                 for out, extra in options:
                     k, total = state, c + extra
                     for b in out.encode("utf-8", "surrogatepass"):
@@ -120,12 +130,14 @@ class Restorer:
                         total += cost[k]
                         k &= 1023
                     if k not in new or total < new[k][0]:
-                        new[k] = (total, said + out)
+                        new[k] = (total, (path, out))
             states = new
-        best = min(states.values())[1][:-1]
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        self.memo[span] = best
+        least = min(c for c, _ in states.values())
+        best = min(_said(path) for c, path in states.values() if c == least)[:-1]
+        if len(span) <= REMEMBERED_CHARS:
+            if len(self.memo) >= REMEMBERED:
+                self.memo.clear()
+            self.memo[span] = best
         return best
 
     def restore(self, text: str) -> str:
@@ -133,15 +145,16 @@ class Restorer:
         text = text.lower()
         if _SPACED.search(text):
             text = _SPACED.sub(lambda m: self.decode(m[0], True), text)
-        cuts, last = [], 0
+        cuts, last, seen = [], 0, 0
         for m in _HIT.finditer(text):
-            if m.start() < last:
+            if m.start() < seen:
                 continue
             lo, hi = m.span()
             while lo > last and _INSIDE.match(text, lo - 1):
                 lo -= 1
             while hi < len(text) and _INSIDE.match(text, hi):
                 hi += 1
+            seen = hi
             token = text[lo:hi].rstrip("!|")
             if len(token) > 2 and token[-1] in "@$+€£¡" and token[-1] == token[-2]:
                 token = token.rstrip(token[-1])
@@ -187,7 +200,7 @@ class Model:
 
     def score(self, found: set[bytes]) -> float:
         clean = 1 - self.base
-        for f in found:
+        for f in sorted(found):
             clean *= 1 - self.weights[f]
         return 1 - clean
 
@@ -255,10 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(cost, weights, base)
 
 
-def scored(docs: DataFrame, model: Model, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The kept columns with score."""
+def score_of(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """The score of the text, as a column; only texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, text_of(text).alias("__text"))
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         m = shared.value
@@ -267,27 +280,25 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...], text: str = "te
         heads = {n: {f for f in m.weights if len(f) == n and not f.endswith(b" ")} for n in PREFIXES}
         for batch in batches:
             out = []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
+            for t in batch.to_pylist():
                 ws = set(r.restore(t).encode("utf-8", "surrogatepass").translate(_LETTERS).split())
                 found = {w + b" " for w in whole & ws}
                 for n, own in heads.items():
                     if own:
                         found |= own & {w[:n] for w in ws}
                 out.append(m.score(found))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*keep, "score"])
+            yield pa.array(out, pa.float64())
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1])
-    return map_arrow(source, run, f"{schema}, score double")
+    return arrow_column(run, "double", text_of(text))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    rows = scored(docs, model or fit(docs, labels), ("doc_id",))
+    score = score_of(docs, model or fit(docs, labels))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % HELD_OUT == 0, F.lit(True))
-    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return docs.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that are not predicted toxic."""
-    columns = docs.columns
-    return scored(docs, fit(docs, labels), tuple(columns)).where("score < 0.5").select(*columns)
+    return docs.where(score_of(docs, fit(docs, labels)) < 0.5)
