@@ -138,7 +138,7 @@ def test_sentencepiece(docs, texts):
         assert b"".join(raw[a:b] for a, b in zip(r.spans[::2], r.spans[1::2])) == raw
 
 
-def test_char_map_takes_the_longest_prefix():
+def _char_map():
     import struct
 
     # a trie with "a" -> X and "ab" -> YZ: units are (offset, leaf flag, label), values follow at a node's own place
@@ -151,8 +151,67 @@ def test_char_map_takes_the_longest_prefix():
     b = 512 ^ ord("b")
     units[b] = unit(768 ^ b, ord("b"), 1)
     units[768] = 0x80000000 | 2
-    m = sentencepiece_codec.CharMap(struct.pack("<I", 4096) + struct.pack("<1024I", *units) + b"X\0YZ\0")
-    assert m.longest(b"abc", 0) == (b"YZ", 2) and m.longest(b"ac", 0) == (b"X", 1) and m.longest(b"c", 0) is None
+    return struct.pack("<I", 4096) + struct.pack("<1024I", *units) + b"X\0Y Z\0"
+
+
+def test_char_map_takes_the_longest_prefix():
+    m = sentencepiece_codec.CharMap(_char_map())
+    assert m.longest(b"abc", 0) == (b"Y Z", 2) and m.longest(b"ac", 0) == (b"X", 1) and m.longest(b"c", 0) is None
+
+
+@pytest.mark.parametrize("squeeze, fallback, user, prefix", [(True, True, False, True), (False, True, True, True), (True, False, False, False), (False, False, True, True)])
+def test_sentencepiece_with_a_character_map(tmp_path, squeeze, fallback, user, prefix):
+    """The public model with another normaliser and other kinds of pieces, against the library; nothing is trained."""
+    import random
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(queries.model_path(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.precompiled_charsmap = _char_map()
+    model.normalizer_spec.remove_extra_whitespaces = squeeze
+    model.normalizer_spec.add_dummy_prefix = prefix
+    model.trainer_spec.byte_fallback = fallback
+    if not fallback:
+        del model.pieces[3:259]
+    if user:
+        for piece in ("<u>", "ha"):
+            at = [p.piece for p in model.pieces].index(piece) if piece in {p.piece for p in model.pieces} else None
+            if at is None:
+                model.pieces.add(piece=piece, score=0.0, type=4)
+            else:
+                model.pieces[at].type = 4
+    model.pieces[[p.piece for p in model.pieces].index("he")].type = 5  # unused
+    path = str(tmp_path / "other.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    r = random.Random(5)
+    for _ in range(400):
+        t = "".join(r.choice(["a", "b", "ab", " ", "  ", "the", "he", "ha", "<u>", "é", "日", "𐍈", "n", "\t"]) for _ in range(r.randint(0, 40)))
+        ids, spans = own.encode(t)
+        assert ids == [*sp.encode(t), sp.eos_id()], t
+        assert own.decode(ids) == sp.decode(ids), t
+        assert (spans[:, 0] <= spans[:, 1]).all() and (spans[1:, 0] >= spans[:-1, 0]).all()
+
+
+def test_sentencepiece_of_odd_texts_and_ids():
+    import random
+
+    import sentencepiece
+
+    path = queries.model_path()
+    sp, own, r = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path), random.Random(3)
+    odd = ["", "  ", " a  b ", "▁▁x", "\x00\x01é", "日本語テキスト" * 60, "a" * 5000, "👩‍👩‍👧" * 40, " " * 300, "<s></s><0x0A><unk>"]
+    for t in odd + ["".join(r.choice("ab ▁é\n日𐍈thein") for _ in range(r.randint(1, 300))) for _ in range(200)]:
+        ids, spans = own.encode(t)
+        assert ids == sp.encode(t, add_eos=True) and own.decode(ids) == sp.decode(ids)
+        assert b"".join(t.encode()[a:b] for a, b in spans.tolist()) == t.encode()
+    for _ in range(1000):
+        ids = [r.choice([r.randrange(3, 259), r.randrange(32000), r.randrange(3), 29871]) for _ in range(r.randint(0, 12))]
+        assert own.decode(ids) == sp.decode(ids), ids
 
 
 def test_contamination(spark, docs, texts):
