@@ -35,15 +35,21 @@ def stash(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/soldlens-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._soldlens_path = path
+    return out
+
+
+def folder(df: DataFrame) -> str:
+    """The folder of a stashed table."""
+    return df._soldlens_path
 
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stashed table that nothing will read again."""
     spark = df.sparkSession
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(df))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

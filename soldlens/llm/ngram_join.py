@@ -270,13 +270,14 @@ def components(links: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for every node with a link (x, y): least labels spread, then point onward."""
     edges = stash(links.select("x", "y").union(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = stash(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("root")), "roots")
+    old = labels
     while True:
         near = edges.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
         spread = labels.join(near.select(F.col("x").alias("node"), "near"), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         to = labels.select(F.col("node").alias("root"), F.col("root").alias("onward"))
         new = stash(spread.join(to, "root", "left").select("node", "was", F.least("root", F.coalesce("onward", "root")).alias("root")), "roots")
-        discard(labels)
-        labels = new.select("node", "root")
+        discard(old)
+        old, labels = new, new.select("node", "root")
         if new.where("was <> root").isEmpty():
             discard(edges)
             return labels
