@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import uuid
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer text makes a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 #: Rows and bytes that Spark sends to Python at once: bounds the worker's memory when texts are long.
 ARROW_ROWS, ARROW_BYTES = "1000", str(4 << 20)
 
@@ -61,7 +63,22 @@ def release(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with bounded batches; fn maps an iterator of record batches."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: _tidy(fn, batches), schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on, and what one stage took would add up with the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _tidy(fn, batches):
+    try:
+        yield from fn(batches)
+    finally:
+        give_back()
 
 
 def arrow_column(fn, kind: str, *columns: Column) -> Column:
@@ -69,12 +86,12 @@ def arrow_column(fn, kind: str, *columns: Column) -> Column:
     if len(columns) == 1:
 
         def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            yield from fn(batches)
+            yield from _tidy(fn, batches)
 
         return F.arrow_udf(one, kind)(*columns)
 
     def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        yield from fn(batches)
+        yield from _tidy(fn, batches)
 
     return F.arrow_udf(many, kind)(*columns)
 

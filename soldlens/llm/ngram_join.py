@@ -2,8 +2,8 @@
 
 A document's set is a node, named by a 64-bit digest of its shingles' hashes, so exact copies are one node. Then:
 
-1. Of each set the smallest hashes, twice as many as it may differ in and one more, are compared over all documents. A similar
-   set shares at least half of them, so a node that shares fewer with the others has no link. What is left is partitioned by
+1. Of each set the smallest hashes, half as many again as it may differ in and one more, are compared over all documents. A similar
+   set shares at least a third of them, so a node that shares fewer with the others has no link. What is left is partitioned by
    its smallest shared token: nodes similar to each other mostly agree in it. Partitions of over GROUP_TOKENS tokens are dealt
    to chunks, each with the partition's most central node, the pivot.
 2. Within a chunk links are found exactly. Each set of linked members is a group, and its token union is stored: a row of the matrix.
@@ -111,7 +111,8 @@ def _heads(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     continue
                 if len(known) < REMEMBERED:
                     known.add(x)
-                heads.append(s[: 2 * (size - needed(size, num, den)) + 1])
+                spare = size - needed(size, num, den)
+                heads.append(s[: spare + spare // 2 + 1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _longs(heads)], ["doc_id", "n_shingles", "node", "head"])
 
     return map_arrow(docs.select("doc_id", text_of().alias("t")).where("doc_id IS NOT NULL"), run, f"doc_id {kind}, n_shingles long, node long, head array<long>")
@@ -129,12 +130,15 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _partitioned(found: DataFrame, num: int, den: int) -> DataFrame:
     """node, doc_id (of one document), key, places (chunks of the key's partition) and lead (the pivot leads) of all nodes that may have a link."""
-    heads = found.where("head IS NOT NULL").select("doc_id", "node", F.col("n_shingles").alias("n"), F.explode("head").alias("token"))
+    given = found.where("head IS NOT NULL")
+    heads = given.select(F.explode("head").alias("token"), "node")
     shared = heads.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    held = heads.join(shared, "token").groupBy("doc_id", "node", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("key"))
-    held = held.withColumn("o", F.expr(f"(n * {num} + {den - 1}) div {den}"))
-    enough = held.where(f"shared >= o - (o * {num} + {den - 1}) div {den} + 1")
-    nodes = enough.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max(F.expr("shared / (2 * (n - o) + 1)")).alias("lead"), F.min("key").alias("key"))
+    held = heads.join(shared, "token").groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.min("token").alias("key"))
+    # tasks that met a node each gave its head once
+    known = given.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("times"))
+    nodes = held.join(known, "node").withColumn("o", F.expr(f"(n * {num} + {den - 1}) div {den}"))
+    nodes = nodes.where(f"held div times >= (o - (o * {num} + {den - 1}) div {den}) div 2 + 1")
+    nodes = nodes.select("node", "doc_id", "n", F.expr("held / times / (n - o + (n - o) div 2 + 1)").alias("lead"), "key")
     nodes = stash(nodes, "nodes-with-shared-tokens")
     sizes = nodes.groupBy("key").agg(F.sum("n").alias("tokens"), F.max(F.struct("lead", "node"))["node"].alias("pivot"))
     big = stash(sizes.where(F.col("tokens") > GROUP_TOKENS).select("key", "pivot", F.ceil(F.col("tokens") / GROUP_TOKENS).cast("int").alias("chunks")), "partitions-in-chunks")

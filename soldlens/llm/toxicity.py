@@ -244,13 +244,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def count(batches):
         c: Counter = Counter()
         n = [0, 0]
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))], ["f", "toxic", "clean"])
+
         for batch in batches:
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n[y > 0] += 1
                 for f in features(t):
                     c[f, y > 0] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in c], pa.binary()), pa.array([v if y else 0 for (_, y), v in c.items()], pa.int64()), pa.array([0 if y else v for (_, y), v in c.items()], pa.int64())], ["f", "toxic", "clean"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([n[1]], pa.int64()), pa.array([n[0]], pa.int64())], ["f", "toxic", "clean"])
+                if len(c) > 50_000:
+                    yield made([(f, v * y, v * (not y)) for (f, y), v in c.items()])
+                    c.clear()
+        yield made([*((f, v * y, v * (not y)) for (f, y), v in c.items()), (None, n[1], n[0])])
 
     rows = stash(map_arrow(docs.join(sample, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), text_of().alias("text")), restore, "toxic int, text string"), "toxic-sample")
     table = map_arrow(rows, count, "f binary, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
