@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from soldlens.llm._shared import map_arrow, text_of
 from soldlens.llm.labelled_pages import pages as labelled_pages
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Fixed values of HTML: how elements behave.
@@ -85,24 +86,41 @@ def read(page: str) -> Tree:
     def close(k: int) -> None:
         nonlocal links
         for tag, _ in stack[k:]:
+            opened[tag] -= 1
             links -= tag == "a"
             if tag not in INLINE:
                 t.texts.append((-1, ""))
         del stack[k:]
 
-    n = len(page)
+    n, begun, tags, opened = len(page), 0, _TAG, Counter()
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            said(at, n)
+        lt = page.find("<", at)
+        if lt < 0:
+            said(begun, n)
             break
-        said(at, m.start())
-        at = m.end()
-        if m[2] is None:
+        at = lt + 1
+        after = page[at : at + 2]
+        if after[:1] in ("!", "?"):
+            said(begun, lt)
+            ends = page.find("-->", lt + 4) + 3 if page.startswith("<!--", lt) else page.find(">", at) + 1
+            at = begun = ends if ends > lt + 1 else n
+            continue
+        if not after.lstrip("/")[:1].isalpha() or not after.isascii():
+            continue  # no tag: part of the text
+        m = tags.match(page, lt)
+        if m is None and tags is _TAG:
+            tags = _LOOSE_TAG  # a quote is left open: from here on quotes do not count, so no second look at the whole rest
+            m = tags.match(page, lt)
+        if m is None:
+            if page.find(">", at) < 0:
+                said(begun, n)  # nothing closes any more
+                break
             continue
+        said(begun, lt)
+        at = begun = m.end()
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(0) if not opened[tag] else range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     close(k)
                     break
@@ -115,7 +133,7 @@ def read(page: str) -> Tree:
                 continue
         if tag in ENDS_P or tag in SIBLINGS:
             ends = SIBLINGS.get(tag, {"p"}) | {"p"}
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(opened[x] for x in ends) else ():
                 if stack[k][0] in ends:
                     close(k)
                     if "p" in ends and len(ends) == 1:
@@ -125,6 +143,7 @@ def read(page: str) -> Tree:
         if tag in INLINE:
             if tag not in VOID:
                 links += tag == "a"
+                opened[tag] += 1
                 stack.append((tag, stack[-1][1]))
             continue
         if tag in VOID:
@@ -139,8 +158,9 @@ def read(page: str) -> Tree:
         t.texts.append((-1, ""))
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            at = begun = end.end() if end else n
         elif not m[3].endswith("/") or tag in ENDS_P:
+            opened[tag] += 1
             stack.append((tag, len(t.tags) - 1))
     return t
 
@@ -155,19 +175,11 @@ class Forest:
         self.names = [x for t in trees for x in t.names]
         parent = np.array([p for t in trees for p in t.parents], np.int64)
         self.parent = np.where(parent < 0, -1, parent + np.repeat(self.starts[:-1], sizes))
-        depth = np.zeros(len(parent), np.int64)
-        self.levels: list[np.ndarray] = [np.flatnonzero(self.parent < 0)]
-        if len(parent):
-            todo = np.flatnonzero(self.parent >= 0)
-            known = self.parent < 0
-            while len(todo):
-                ready = known[self.parent[todo]]
-                level = todo[ready]
-                depth[level] = len(self.levels)
-                self.levels.append(level)
-                todo = todo[~ready]
-                known = known.copy()
-                known[level] = True
+        depth: list[int] = []
+        for p in self.parent.tolist():  # parents open before their children
+            depth.append(0 if p < 0 else depth[p] + 1)
+        order = np.argsort(np.array(depth, np.int64), kind="stable")
+        self.levels = np.split(order, np.searchsorted(np.array(depth, np.int64)[order], np.arange(1, max(depth, default=0) + 1)))
         length = np.array([x for t in trees for x in t.own], np.float64)
         linked = np.array([x for t in trees for x in t.linked], np.float64)
         for level in reversed(self.levels[1:]):

@@ -50,7 +50,7 @@ def op9_chat(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
-    return chat.conversation_digests(chat.format_turns(chat.canonical_turns(rows)))
+    return chat.conversation_digests(chat.format_turns(chat.canonical_turns(rows)), arranged=True)
 
 
 def op10_html_extract(spark, sf_dir):

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soldlens.llm._shared import BY_ALNUM, map_arrow, utf8, words
+from soldlens.llm._shared import BY_ALNUM, discard, map_arrow, stash, steps, utf8, words
 
 #: Verdict, host and path of each rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Buckets of the classifier, and characters of the longest word that the Viterbi places.
+#: Buckets of the classifier, and characters by which words and names are joined; longer words are then compared in full.
 BUCKETS = 1 << 16
-LONGEST_WORD = 24
+JOINED = 32
 PART = re.compile(r"[^\W\d_]+|\d+")
 CLASSES = ("allow", "block")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,6 +60,7 @@ class Segmenter:
     def __post_init__(self) -> None:
         self.total = math.log((sum(self.counts.values()) if self.occurrences is None else self.occurrences) + 1)
         self.cost = {w: self.total - math.log(n) for w, n in self.counts.items()}
+        self.longest = max(map(len, self.counts), default=0)
         self.memo: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
@@ -67,11 +68,15 @@ class Segmenter:
             return self.memo[name]
         n = len(name)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+        letter, start = math.log(10), 0
         for end in range(1, n + 1):
-            for begin in range(max(0, end - LONGEST_WORD), end):
-                w = name[begin:end]
-                c = best[begin] + self.cost.get(w, self.total + len(w) * math.log(10))
-                if c < best[end]:
+            # the best begin of an unknown word is the same for all its ends, as each letter costs alike
+            if best[end - 1] - (end - 1) * letter < best[start] - start * letter:
+                start = end - 1
+            best[end], back[end] = best[start] + self.total + (end - start) * letter, start
+            for begin in range(max(0, end - self.longest), end):
+                c = best[begin] + self.cost.get(name[begin:end], math.inf)
+                if c < best[end] or c == best[end] and begin < back[end]:
                     best[end], back[end] = c, begin
         out, end = [], n
         while end:
@@ -99,7 +104,7 @@ def bucket(token: str) -> int:
 
 
 def _name_pieces(urls: DataFrame) -> DataFrame:
-    """Every run of up to LONGEST_WORD characters within a name of a url: all that the Viterbi can ask for."""
+    """Runs of up to JOINED characters within names of urls; with those of JOINED, what follows in the name."""
 
     def parts(batches):
         for batch in batches:
@@ -109,30 +114,34 @@ def _name_pieces(urls: DataFrame) -> DataFrame:
     def pieces(batches):
         for batch in batches:
             for part in batch.column(0).to_pylist():
-                found = {part[i:j] for i in range(len(part)) for j in range(i + 1, min(len(part), i + LONGEST_WORD) + 1)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["piece"])
+                for lo in range(0, len(part), 256):
+                    found = {(part[i:j], part[j:] if j - i == JOINED else "") for i in range(lo, min(lo + 256, len(part))) for j in range(i + 1, min(len(part), i + JOINED) + 1)}
+                    yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.string()) for c in (0, 1)], ["piece", "rest"])
 
-    return map_arrow(map_arrow(urls.select("host", "path").distinct(), parts, "part string").distinct(), pieces, "piece string").distinct()
+    return map_arrow(map_arrow(urls.select("host", "path").distinct(), parts, "part string").distinct(), pieces, "piece string, rest string").distinct()
 
 
 def lexicon(pages: DataFrame) -> tuple[dict[str, int], int]:
-    """Counts over all pages of the words of two or more bytes that occur within names of urls, and the occurrences of all such words, kept or not."""
+    """Counts over all pages of the words that occur within names of urls, and the occurrences of all words, kept or not."""
 
     def run(batches):
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            a, b, e, _ = words(data, offsets, BY_ALNUM)
-            raw = a.tobytes()
-            some = np.flatnonzero(e - b >= 2)
-            c = Counter(raw[i:j] for i, j in zip(b[some].tolist(), e[some].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+            for lo, hi in steps(offsets):
+                a, b, e, _ = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], BY_ALNUM)
+                raw = a.tobytes()
+                c = Counter(raw[i:j] for i, j in zip(b.tolist(), e.tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     text = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " ")
     rows = map_arrow(pages.select(text.alias("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     names = _name_pieces(pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
-    # words that no name holds become one row, of word null
-    known = rows.join(names, F.col("word") == F.col("piece"), "left").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    return {r[0]: r[1] for r in known if r[0] is not None}, sum(r[1] for r in known)
+    rows = stash(rows, "page-words")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    same = (F.substring("word", 1, JOINED) == F.col("piece")) & F.col("rest").startswith(F.expr(f"substring(word, {JOINED + 1})"))
+    known = rows.join(names, same, "left_semi").collect()  # words within names of urls alone
+    discard(rows)
+    return {r[0]: r[1] for r in known}, total
 
 
 def learn(ruled: DataFrame, segmenter: Segmenter) -> np.ndarray:

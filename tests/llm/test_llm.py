@@ -252,7 +252,7 @@ def test_url_verdicts(spark):
 
     extra = spark.createDataFrame([(900000 + i, u, None) for i, u in enumerate(["http://cheap.net/fr/a", "http://b.example.net/de/x1", "http://stories.info/en/", None])], "page_id long, url string, html string")
     df = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").unionByName(extra)
-    every = collections.Counter(w for r in df.collect() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("<[^>]*>", " ", r.html or "").translate(LOWER)) if len(w.encode()) >= 2)
+    every = collections.Counter(w for r in df.collect() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("<[^>]*>", " ", r.html or "").translate(LOWER)))
     seg, seen, n = url_filter.Segmenter(every), collections.Counter(), collections.Counter()
     ruled = url_filter.with_rules(df).collect()
     of = lambda r: [zlib.crc32(t.encode()) % url_filter.BUCKETS for t in seg.tokens(r.host, r.path)]
@@ -271,9 +271,9 @@ def test_url_verdicts(spark):
 
 def test_url_words_beyond_the_most_frequent(spark):
     """Rare words among 50,000 that are more frequent, and one of over 24 bytes in fewer characters, split names as a lexicon of all words does."""
-    long = "недвижимостьвсем"
+    long = "недвижимостьвсем" * 3
     common = [f"w{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(50_001)]
-    text = " ".join(common * 2 + ["inedtion", "or", "or", long, "x" * 30])
+    text = " ".join(common * 2 + ["inedtion", "or", "or", long, "x" * 30, "y"])
     made = [(1, f"http://inedtionor.net/{long}or", f"<p>{text}</p>"), (2, "http://wbbor.org/", None)]
     df = spark.createDataFrame(made, "page_id long, url string, html string")
     every = collections.Counter(text.split())
