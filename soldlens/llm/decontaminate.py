@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soldlens.llm._shared import BY_ALNUM, arrow_column, bounded_batches, discard, hashes, mix, stash, steps, text_of, utf8, words
+from soldlens.llm._shared import BY_ALNUM, arrow_column, bounded_batches, discard, hashes, mix, stash, steps, utf8, words
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of benchmark text whose tables one pass holds; a larger benchmark is searched in several passes.
@@ -134,7 +134,7 @@ _FOUND = "struct<n:long,spans:array<int>,items:array<string>>"
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
-    """The rows, all columns, with __found: n (words), spans (flat begin, end ranges of words hit) and items (ids, sorted).
+    """row (a struct of all columns) and found: n (words), spans (flat begin, end ranges of words hit) and items (ids, sorted).
 
     A benchmark of over PASS_BYTES is searched in passes; what one finds is written with the rows before the next, so that each
     task holds the tables of one pass alone.
@@ -145,15 +145,16 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str =
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = 1 + size // PASS_BYTES
     bench = bench.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
-    out, before = docs, None
+    out, before = docs.select(F.struct(*docs.columns).alias("row")), None
     for k in range(passes):
         rows = bench.where(F.col("part") == k).select("item_id", "text").collect()  # PASS_BYTES about
         tables = spark.sparkContext.broadcast(build([(r[0], r[1]) for r in rows], window))
-        out = out.withColumn("__new", arrow_column(_pass(tables), _FOUND, text_of(text)))
+        new = arrow_column(_pass(tables), _FOUND, F.coalesce(F.col("row")[text].cast("string"), F.lit("")))
         if k:
-            both = lambda f: F.concat(F.col("__found")[f], F.col("__new")[f])
-            out = out.withColumn("__new", F.struct(F.col("__found.n").alias("n"), both("spans").alias("spans"), F.array_sort(F.array_distinct(both("items"))).alias("items"))).drop("__found")
-        out = out.withColumnRenamed("__new", "__found")
+            both = lambda f: F.concat(F.col("found")[f], F.col("new")[f])
+            out = out.withColumn("new", new)
+            new = F.struct(F.col("found.n").alias("n"), both("spans").alias("spans"), F.array_sort(F.array_distinct(both("items"))).alias("items"))
+        out = out.select("row", new.alias("found"))
         if k + 1 < passes:
             out = stash(out, "hits")
             if before is not None:
@@ -173,10 +174,10 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The digest per document; see the module text for the cases."""
     found = search(docs.select("doc_id", "text"), benchmark, window)
-    spans, items = F.col("__found.spans"), F.col("__found.items")
-    return found.select("doc_id", F.col("__found.n").alias("n_words"), covered(spans).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) > 0).alias("contaminated"))
+    spans, items = F.col("found.spans"), F.col("found.items")
+    return found.select("row.doc_id", F.col("found.n").alias("n_words"), covered(spans).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, all columns, without those that hold any window of the benchmark."""
-    return search(docs, benchmark, window).where(F.size("__found.items") == 0).drop("__found")
+    return search(docs, benchmark, window).where(F.size("found.items") == 0).select("row.*")

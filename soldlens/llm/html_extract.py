@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from soldlens.llm._shared import map_arrow, text_of
 from soldlens.llm.labelled_pages import pages as labelled_pages
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Fixed values of HTML: how elements behave.
@@ -92,10 +92,10 @@ def read(page: str) -> Tree:
                 t.texts.append((-1, ""))
         del stack[k:]
 
-    n, begun, tags, opened = len(page), 0, _TAG, Counter()
+    n, last, begun, tags, opened = len(page), page.rfind(">"), 0, _TAG, Counter()
     while at < n:
         lt = page.find("<", at)
-        if lt < 0:
+        if lt < 0 or lt > last:  # no tag closes any more
             said(begun, n)
             break
         at = lt + 1
@@ -111,11 +111,6 @@ def read(page: str) -> Tree:
         if m is None and tags is _TAG:
             tags = _LOOSE_TAG  # a quote is left open: from here on quotes do not count, so no second look at the whole rest
             m = tags.match(page, lt)
-        if m is None:
-            if page.find(">", at) < 0:
-                said(begun, n)  # nothing closes any more
-                break
-            continue
         said(begun, lt)
         at = begun = m.end()
         tag = m[2].lower()

@@ -422,8 +422,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
         spare = stash(similar(docs, k, num, den).where("doc_id != component_id").select("doc_id"), "near-duplicates")
         return without(docs, spare).select(*docs.columns)
-    keyed = stash(docs.withColumnRenamed("doc_id", "__id").withColumn("doc_id", F.monotonically_increasing_id()), "keyed")
-    found = stash(similar(keyed.select("doc_id", "text"), k, num, den).join(keyed.select("doc_id", "__id"), "doc_id"), "components")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "doc_id"))["doc_id"].alias("first"))
+    keyed = stash(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*docs.columns).alias("row")), "keyed")
+    found = stash(similar(keyed.select("doc_id", "row.text"), k, num, den).join(keyed.select("doc_id", F.col("row.doc_id").alias("id")), "doc_id"), "components")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))["doc_id"].alias("first"))
     spare = stash(found.join(first, "component_id").where("doc_id != first").select("doc_id"), "near-duplicates")
-    return without(keyed, spare).drop("doc_id").withColumnRenamed("__id", "doc_id").select(*docs.columns)
+    return without(keyed, spare).select("row.*")

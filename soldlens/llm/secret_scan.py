@@ -3,8 +3,8 @@
 Spans come from splitting the text by a pattern and summing the lengths of what lies between the matches. Candidates for
 the entropy test are runs of 20 or more token characters that hold a digit; each belongs to one character class (hex, lower
 alphanumeric or mixed), and a window of 20 characters slides over it. Its sum of c*log2(c) over character counts changes only
-by the character that enters and the one that leaves. What runs from the first window at or over the class's threshold to
-the last is a span. Spans of the patterns are cut out of a run first, and so are its parts between '/', '=' and '-' that
+by the character that enters and the one that leaves. Each run of the union of windows at or over the class's threshold
+is a span. Spans of the patterns are cut out of a run first, and so are its parts between '/', '=' and '-' that
 hold an allowed word; what remains is a candidate if it is long enough and holds a digit. A candidate of an allowed form
 is left out; separators where it was cut do not count for its form.
 
@@ -71,30 +71,35 @@ def _class_bits(s: Column) -> Column:
 
 
 def _windows(s: Column) -> Column:
-    """Struct first, last: ends (1-based) of the first and last window of s at or over its class's threshold; 0 if none."""
+    """Array of struct begin, end: the union, in runs, of the windows of s at or over its class's threshold."""
     least = _class_bits(s)
     codes = F.transform(F.split(s, ""), lambda ch: F.when(ch != "", F.position(ch, F.lit(ALPHABET))).otherwise(F.lit(0)))
     codes = F.filter(codes, lambda k: k > 0)
 
     def step(state: Column, i: Column) -> Column:
-        ins, c = F.element_at(state["codes"], i), state["counts"]
+        ins, c, hot = F.element_at(state["codes"], i), state["counts"], state["hot"]
         old = F.when(i > WINDOW, F.element_at(state["codes"], F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
         n_in = F.element_at(c, ins)
         n_out = F.when(old > 0, F.element_at(c, F.greatest(old, F.lit(1)))).otherwise(F.lit(0))
         total = F.when(old == ins, state["sum"]).otherwise(state["sum"] + _clog(n_in + 1) - _clog(n_in) + F.when(old > 0, _clog(n_out - 1) - _clog(n_out)).otherwise(0.0))
         counts = F.when(old == ins, c).otherwise(F.transform(c, lambda v, k: v + F.when(k + 1 == ins, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0)))
-        high = (i >= WINDOW) & (F.lit(1.0) * F.log2(F.lit(float(WINDOW))) - total / WINDOW >= state["least"])
+        # the threshold is met within what sums of doubles may be off by
+        high = (i >= WINDOW) & (F.lit(1.0) * F.log2(F.lit(float(WINDOW))) - total / WINDOW >= state["least"] - 1e-9)
+        last = F.try_element_at(hot, F.lit(-1))
+        joins = (F.size(hot) > 0) & (last["end"] >= i - WINDOW)
+        grown = F.concat(F.slice(hot, F.lit(1), F.greatest(F.size(hot) - 1, F.lit(0))), F.array(F.struct(last["begin"].alias("begin"), i.alias("end"))))
+        begun = F.concat(hot, F.array(F.struct((i - WINDOW).alias("begin"), i.alias("end"))))
         return F.struct(
             state["codes"].alias("codes"),
             state["least"].alias("least"),
             counts.alias("counts"),
             total.alias("sum"),
-            F.when(high & (state["first"] == 0), i).otherwise(state["first"]).alias("first"),
-            F.when(high, i).otherwise(state["last"]).alias("last"),
+            F.when(~high, hot).when(joins, grown).otherwise(begun).alias("hot"),
         )
 
-    start = F.struct(codes.alias("codes"), least.alias("least"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(s)), start, step, lambda state: F.struct(state["first"], state["last"]))
+    none = F.expr("cast(array() as array<struct<begin:int,end:int>>)")
+    start = F.struct(codes.alias("codes"), least.alias("least"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), none.alias("hot"))
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(s)), start, step, lambda state: state["hot"])
 
 
 def _blanked(text: Column, spans: Column) -> Column:
@@ -121,8 +126,8 @@ def _entropy_spans(text: Column, cut: Column) -> Column:
 
     allowed = lambda s: F.exists(F.array(*[F.lit(p) for p in ALLOW]), lambda p: F.rlike(s, p))
     free = F.filter(_matches(cut, CANDIDATE, 1), lambda m: ~allowed(form(m)))
-    seen = F.transform(free, lambda m: F.struct(m["start"].alias("start"), _windows(m["value"]).alias("w")))
-    return F.transform(F.filter(seen, lambda m: m["w"]["first"] > 0), lambda m: F.struct((m["start"] + m["w"]["first"] - WINDOW).alias("start"), F.lit(len(KINDS)).alias("order"), (m["start"] + m["w"]["last"]).alias("end")))
+    hot = F.transform(free, lambda m: F.struct(m["start"].alias("at"), _windows(m["value"]).alias("w")))
+    return F.flatten(F.transform(hot, lambda h: F.transform(h["w"], lambda w: F.struct((h["at"] + w["begin"]).alias("start"), F.lit(len(KINDS)).alias("order"), (h["at"] + w["end"]).alias("end")))))
 
 
 def _joined(spans: Column) -> Column:
@@ -136,37 +141,37 @@ def _base_spans(text: Column, order: int, pattern: str, group: int, least: int)
     return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end")))
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns with base and spans: array<struct<start, order, end>>; base is what the patterns alone found."""
-    out = docs.select(*keep, text_of(text).alias("__text"))
-    t = F.col("__text")
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """row (a struct of all columns), t (the text), base and spans: array<struct<start, order, end>>; base is what the patterns alone found."""
+    out = docs.select(F.struct(*docs.columns).alias("row"), text_of(text).alias("t"))
+    t = F.col("t")
     for i, kind in enumerate(KINDS):
-        out = out.withColumn(f"__{kind}", _base_spans(t, i, *KINDS[kind]))
-    out = out.withColumn("base", F.concat(*[F.col(f"__{k}") for k in KINDS]))
-    out = out.withColumn("__rest", F.when(t.rlike(CANDIDATE), _blanked(t, F.col("base"))).otherwise(""))
-    out = out.withColumn("__cut", _blanked(F.col("__rest"), _matches(F.col("__rest"), ALLOWED_PART, 1)))
-    entropy = F.when(F.col("__cut").rlike(CANDIDATE), _entropy_spans(t, F.col("__cut")))
-    return out.withColumn("spans", F.concat("base", F.coalesce(entropy, F.expr("cast(array() as array<struct<start:int,order:int,end:int>>)")))).drop(*[f"__{k}" for k in KINDS], "__rest", "__cut")
+        out = out.withColumn(kind, _base_spans(t, i, *KINDS[kind]))
+    out = out.withColumn("base", F.concat(*KINDS))
+    out = out.withColumn("rest", F.when(t.rlike(CANDIDATE), _blanked(t, F.col("base"))).otherwise(""))
+    out = out.withColumn("cut", _blanked(F.col("rest"), _matches(F.col("rest"), ALLOWED_PART, 1)))
+    entropy = F.when(F.col("cut").rlike(CANDIDATE), _entropy_spans(t, F.col("cut")))
+    spans = F.concat("base", F.coalesce(entropy, F.expr("cast(array() as array<struct<start:int,order:int,end:int>>)")))
+    return out.select("row", "t", "base", spans.alias("spans"))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """The digest per document."""
     n = lambda k: F.size(F.filter("base", lambda s: s["order"] == k)).cast("long")
-    return scan(docs).select("doc_id", *[n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return scan(docs.select("doc_id", "text")).select("row.doc_id", *[n(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
     """The documents, all columns, with each run of overlapping spans in the text replaced by the mark; a null text stays null."""
-    columns = docs.columns
-    found = scan(docs, keep=tuple(columns), text=text)
     state = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring("__text", s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).alias("out"),
+            F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring("t", s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).alias("out"),
         ),
-        lambda s: F.concat(s["out"], F.substring("__text", s["at"] + 1, F.char_length("__text") - s["at"])),
+        lambda s: F.concat(s["out"], F.substring("t", s["at"] + 1, F.char_length("t") - s["at"])),
     )
-    clean = F.when(F.size("spans") == 0, F.col(text)).otherwise(state)
-    return found.select(*[clean.alias(c) if c == text else F.col(c) for c in columns])
+    own = F.col("row")[text]
+    clean = F.when(F.size("spans") == 0, own).otherwise(state)
+    return scan(docs, text).select(*[clean.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

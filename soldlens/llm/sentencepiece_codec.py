@@ -309,8 +309,9 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] |
             found = [c.encode(t) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays([_lists([i for i, _ in found]), _lists([s.ravel() for _, s in found])], ["ids", "spans"])
 
-    rows = df.select(*columns, arrow_column(run, _ENCODED, text_of(text)).alias("__encoded"))
-    return rows.select(*columns, F.col("__encoded.ids").alias("ids"), F.col("__encoded.spans").alias("spans"))
+    row = F.struct(*columns) if columns else F.struct(F.lit(0))
+    rows = df.select(row.alias("row"), arrow_column(run, _ENCODED, text_of(text)).alias("encoded"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns], "encoded.ids", "encoded.spans")
 
 
 def decode(df: DataFrame, path: str, keep: tuple[str, ...] = (), ids: str = "ids") -> DataFrame:

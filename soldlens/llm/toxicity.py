@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     c.clear()
         yield made([*((f, v * y, v * (not y)) for (f, y), v in c.items()), (None, n[1], n[0])])
 
-    rows = stash(map_arrow(docs.join(sample, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), text_of().alias("text")), restore, "toxic int, text string"), "toxic-sample")
+    rows = stash(map_arrow(docs.select("doc_id", text_of().alias("text")).join(sample, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text"), restore, "toxic int, text string"), "toxic-sample")
     table = map_arrow(rows, count, "f binary, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     got = table.where(F.col("f").isNull() | (F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + 0.3))).collect()
     totals = [r for r in got if r[0] is None]
