@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import re
 import struct
+from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -33,6 +34,11 @@ SPACE = "▁"
 REMEMBERED, REMEMBERED_CHARS = 100_000, 48
 #: Fixed values of the model file: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Bits of an id in a pair's key, and the worth of two ids that do not merge.
+_ID = 20
+_IDS, _NEVER, _PAD = (1 << _ID) - 1, 1 << 62, -(1 << 40)
+#: Words of up to so many characters are merged together, in two groups by length; and characters of text between such merges.
+NARROW, BROAD, STEP = 14, 48, 1 << 19
 #: Up to so many symbols the best pair is found by looking at all of them.
 SHORT = 96
 
@@ -68,6 +74,37 @@ class CharMap:
         return self.strings[best[0] : self.strings.index(b"\0", best[0])], best[1]
 
 
+class PairTable:
+    """What pairs of ids merge to, looked up for many at once: open addressing in two arrays."""
+
+    def __init__(self, pairs: dict[int, int]) -> None:
+        self.bits = max(8, (8 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, _NEVER)
+        keys, values = (np.array(list(x), np.int64) for x in (pairs.keys(), pairs.values()))
+        self.probes, todo = 0, np.arange(len(keys))
+        while len(todo):
+            place = self._place(keys[todo], self.probes)
+            free = self.keys[place] == -1
+            self.keys[place[free]] = keys[todo[free]]
+            won = self.keys[place] == keys[todo]
+            self.values[place[won]] = values[todo[won]]
+            todo, self.probes = todo[~won], self.probes + 1
+
+    def _place(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def worth(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The value of each pair of ids, _NEVER where they do not merge; what is below zero never does."""
+        key = np.where((a >= 0) & (b >= 0), a << _ID | b, -2)
+        first = self._place(key, 0)
+        out = np.where(self.keys[first] == key, self.values[first], _NEVER)
+        for probe in range(1, self.probes):
+            at = (first + probe) & ((1 << self.bits) - 1)
+            out = np.where(self.keys[at] == key, self.values[at], out)
+        return out
+
+
 class Codec:
     """Encodes with one model file, all of whose fields it reads itself."""
 
@@ -100,7 +137,75 @@ class Codec:
         self.plain = not self.map.units and not self.user and self.spec.add_dummy_prefix and not self.squeeze and self.spec.escape_whitespaces
         # no piece holds a space after something else: words cannot merge with each other
         self.by_word = self.spec.escape_whitespaces and not any(SPACE in x.lstrip(SPACE) for x in self.ids)
-        self.memo: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.widths = np.array([1 if p.type == BYTE else 0 if p.type in (UNKNOWN, CONTROL) else len(p.piece.encode()) for p in model.pieces], np.int64)
+        self.memo: dict = {}
+        pairs = self._pairs()
+        self.table = None if pairs is None else PairTable(pairs)
+        self.by_char = np.full(0x110000, -1, np.int32)
+        for x, i in self.ids.items():
+            if len(x) == 1:
+                self.by_char[ord(x)] = i
+
+    def _pairs(self) -> dict[int, int] | None:
+        """For two ids that merge, the rank of the merged piece's score above its id, the lower the earlier; None where ids alone do not decide."""
+        if self.bytes is None or self.user or self.unused or not self.by_word:
+            return None
+        ids, times = self.ids, Counter(self.scores[x] for x in self.ids if len(x) > 1)
+        # of pieces with equal scores the leftmost goes first, not the one with the least id; such runs of spaces go the longer way
+        if any(times[self.scores[x]] > 1 and SPACE * 2 not in x for x in ids if len(x) > 1):
+            return None
+        merged = sorted((x for x in ids if len(x) > 1 and SPACE * 2 not in x), key=lambda x: -self.scores[x])
+        return {ids[x[:i]] << _ID | ids[x[i:]]: rank << _ID | ids[x] for rank, x in enumerate(merged) for i in range(1, len(x)) if x[:i] in ids and x[i:] in ids}
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the ids of words, merging in all of them at once: each round merges the best pair of every word that has one."""
+        rest = [w for w in words if len(w) > BROAD or SPACE * 2 in w]
+        for w in rest:
+            self.memo[w] = self._word(w)[0]
+        if rest:
+            words = [w for w in words if len(w) <= BROAD and SPACE * 2 not in w]
+        for low, high in ((0, NARROW), (NARROW, BROAD)):
+            some = [w for w in words if low < len(w) <= high]
+            if some:
+                self._learn_alike(some)
+
+    def _learn_alike(self, words: list[str]) -> None:
+        size = np.array([len(w) for w in words])
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ids = self.by_char[code].astype(np.int64)
+        ids = np.where(ids >= 0, ids, -1 - code.astype(np.int64))  # characters that the vocabulary lacks are below zero until the end
+        a = np.full((len(words), size.max() + 1), _PAD)
+        a[np.arange(a.shape[1]) < size[:, None]] = ids
+        worth = self.table.worth(a[:, :-1], a[:, 1:])
+        at = np.arange(len(words))
+        while len(at):
+            i, best = worth.argmin(1), worth.min(1)
+            done = best == _NEVER
+            if done.any():
+                self._remember([words[k] for k in at[done].tolist()], a[done])
+                a, worth, at, i, best = (x[~done] for x in (a, worth, at, i, best))
+                if not len(at):
+                    break
+            row, made = np.arange(len(at)), best & _IDS
+            places = np.arange(a.shape[1] - 1)
+            a = np.take_along_axis(a, places + (places > i[:, None]), 1)
+            a[row, i] = made
+            worth = np.take_along_axis(worth, places[:-1] + (places[:-1] >= i[:, None]), 1)
+            before, after = i > 0, i < worth.shape[1]
+            worth[row[before], i[before] - 1] = self.table.worth(a[row[before], i[before] - 1], made[before])
+            worth[row[after], i[after]] = self.table.worth(made[after], a[row[after], i[after] + 1])
+
+    def _remember(self, words: list[str], a: np.ndarray) -> None:
+        kept = a != _PAD
+        flat, ends = a[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+        odd = (kept & (a < 0)).any(1).tolist()
+        begin = 0
+        for w, end, has_bytes in zip(words, ends, odd, strict=True):
+            ids = flat[begin:end]
+            if has_bytes:
+                ids = [y for x in ids for y in ((x,) if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode()])]
+            self.memo[w] = tuple(ids)
+            begin = end
 
     def _prefix(self, raw: bytes, at: int) -> tuple[bytes, int]:
         for u in self.user:
@@ -214,24 +319,52 @@ class Codec:
                 ids.append(self.unknown if k is None else k)
                 widths.append(len(x) if x.isascii() else len(x.encode()))
         out = tuple(ids), tuple(widths)
-        if len(word) <= REMEMBERED_CHARS:
+        if len(word) <= REMEMBERED_CHARS and self.table is None:
             if len(self.memo) >= REMEMBERED:
                 self.memo.clear()
             self.memo[word] = out
         return out
 
-    def _parts(self, text: str) -> tuple[list[int], list[int], np.ndarray, int]:
-        """Ids, the normalised bytes each covers, the source of each normalised byte, and how many there are."""
-        norm, source = self.normalise(text.encode())
-        whole = norm.decode()
-        words = _WORDS.findall(whole) if self.by_word else [whole] if whole else []
-        known = self.memo.get
-        found = [known(w) or self._word(w) for w in words]
-        ids = list(chain.from_iterable(i for i, _ in found))
-        widths = list(chain.from_iterable(w for _, w in found))
-        if self.bytes is None and self.unknown in ids:
-            ids, widths = self._one_unknown(ids, widths)
-        return ids, widths, source, len(norm)
+    def encode_all(self, texts: list[str]):
+        """`encode` of each text; new words are merged together for about STEP characters of text at a time."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size < STEP):
+                size += len(texts[hi])
+                hi += 1
+            normal = [self.normalise(t.encode()) for t in texts[lo:hi]]
+            parts = [_WORDS.findall(n.decode()) if self.by_word else [n.decode()] if n else [] for n, _ in normal]
+            if self.table is not None:
+                if len(self.memo) >= REMEMBERED:
+                    self.memo.clear()
+                self._learn(list({w for p in parts for w in p if w not in self.memo}))
+            for (norm, source), words in zip(normal, parts, strict=True):
+                yield self._encoded(words, source, len(norm))
+            lo = hi
+
+    def encode(self, text: str) -> tuple[list[int], np.ndarray]:
+        """Ids, the end id last, and begin and end byte in the text of each (rows of two); the end id's span is empty, at the end."""
+        return next(self.encode_all([text]))
+
+    def _encoded(self, words: list[str], source: np.ndarray, n: int) -> tuple[list[int], np.ndarray]:
+        """Ids and spans from the words, the source of each normalised byte, and how many there are."""
+        if self.table is not None:
+            ids = list(chain.from_iterable(map(self.memo.__getitem__, words)))
+            widths = self.widths[np.array(ids, np.int64)]
+        else:
+            found = [self.memo.get(w) or self._word(w) for w in words]
+            ids, widths = (list(chain.from_iterable(f[k] for f in found)) for k in (0, 1))
+            if self.bytes is None and self.unknown in ids:
+                ids, widths = self._one_unknown(ids, widths)
+        at = np.zeros(len(ids) + 2, np.int64)
+        np.cumsum(widths, out=at[1:-1])
+        at[-1] = at[-2]
+        if at[-1] != n:
+            raise ValueError("the pieces do not tile the normalised text")
+        ids.append(self.end)
+        where = source[at]
+        return ids, np.stack((where[:-1], where[1:]), axis=1)
 
     def _one_unknown(self, ids: list[int], widths: list[int]) -> tuple[list[int], list[int]]:
         out, sums = [], []
@@ -243,14 +376,6 @@ class Codec:
                 sums.append(w)
         return out, sums
 
-    def encode(self, text: str) -> tuple[list[int], np.ndarray]:
-        """Ids, the end id last, and begin and end byte in the text of each (rows of two); the end id's span is empty, at the end."""
-        ids, widths, source, n = self._parts(text)
-        ends = np.cumsum(np.array([*widths, 0], np.int64))
-        if ends[-1] != n:
-            raise ValueError("the pieces do not tile the normalised text")
-        return [*ids, self.end], np.stack((source[ends - np.array([*widths, 0])], source[ends]), axis=1)
-
     def decode(self, ids: list[int]) -> str:
         """The text behind ids; bytes that are not UTF-8 become U+FFFD one by one."""
         out: list[str] = []
@@ -306,7 +431,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] |
     def run(batches):
         c = codec(path)
         for batch in batches:
-            found = [c.encode(t) for t in batch.to_pylist()]
+            found = list(c.encode_all(batch.to_pylist()))
             yield pa.StructArray.from_arrays([_lists([i for i, _ in found]), _lists([s.ravel() for _, s in found])], ["ids", "spans"])
 
     row = F.struct(*columns) if columns else F.struct(F.lit(0))
@@ -335,8 +460,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for batch in batches:
             n, a, b, covered = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                ids, spans = c.encode(t)
+            for ids, spans in c.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids))
                 a.append(sha(" ".join(map(str, ids))))
                 b.append(sha(c.decode(ids)))
