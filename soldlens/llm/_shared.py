@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import glob
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -66,6 +68,15 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(lambda batches: _tidy(fn, batches), schema)
 
 
+def one_blas_thread() -> None:
+    """Matrix products in this process take one thread: tasks fill the cores already, and waiting threads would only burn time."""
+    for lib in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        loaded = ctypes.CDLL(lib)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            with contextlib.suppress(AttributeError):
+                getattr(loaded, name)(1)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: workers live on, and what one stage took would add up with the next one's."""
     gc.collect()
