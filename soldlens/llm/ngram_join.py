@@ -10,8 +10,9 @@ A document's set is a node, named by a 64-bit digest of its shingles' hashes, so
    Groups of one partition that hold its pivot have one root.
 3. A query's overlap with a group's union bounds its overlap with every member. Tokens whose groups all have one root cannot
    bind a query to another component, so a group with too few other tokens for its smallest member is left out, and again
-   until that ends. What is left is matched by its rarest tokens, the bound is taken against the stored unions, and only
-   groups that reach the threshold are opened: their members are read and compared.
+   until that ends. What is left of a chunk is one group now, linked or not, with its union stored; chunks are matched by
+   their members' rarest tokens, each member of one is held against the union of the other, and only those groups whose
+   bound reaches the threshold are opened: their members are read and compared.
 
 A pair is left out only if a bound excludes it or it is in one component already. No list of pairs within a group is made.
 A chunk is held in one task, and so is an opened group; neither exceeds about GROUP_TOKENS tokens, or one document. Hot nodes
@@ -229,18 +230,22 @@ def _list_at(batch: pa.RecordBatch, column: int, i: int) -> np.ndarray:
 
 
 def _grouped(num: int, den: int):
-    """Rows (key, chunk, node, n, tokens), the pivot first in its chunk, to one row per group: group, root, least (size), nodes and tokens."""
+    """Rows (key, chunk, node, n, tokens), the pivot first in its chunk, to one row per group: place (its chunk), group, root, least (size), nodes and tokens."""
 
     def run(batches):
         out: list[tuple] = []
 
         def made():
-            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(5)]
-            arrays = [*(pa.array(columns[c], pa.int64()) for c in range(3)), *(_longs(list(columns[c])) for c in (3, 4))]
-            return pa.RecordBatch.from_arrays(arrays, ["group", "root", "least", "nodes", "tokens"])
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(6)]
+            arrays = [*(pa.array(columns[c], pa.int64()) for c in range(4)), *(_longs(list(columns[c])) for c in (4, 5))]
+            return pa.RecordBatch.from_arrays(arrays, ["place", "group", "root", "least", "nodes", "tokens"])
+
+        def named(x, chunk):
+            return int(mix(np.array([x], np.int64).view(np.uint64) + np.uint64(chunk * int(_EDGE) & _MASK))[0].astype(np.int64))
 
         size = 0
-        for (_, chunk), rows in _runs(batches, 2):
+        for (key, chunk), rows in _runs(batches, 2):
+            place = named(key, chunk + 1)
             own: dict[int, np.ndarray] = {}
             for batch, i in rows:
                 own.setdefault(batch.column(2)[i].as_py(), _list_at(batch, 4, i))
@@ -259,8 +264,7 @@ def _grouped(num: int, den: int):
                 parts.setdefault(joined.top(i), []).append(i)
             for top, part in parts.items():
                 tokens = sets[top] if len(part) == 1 else np.unique(np.concatenate([sets[i] for i in part]))
-                group = int(mix(np.array([nodes[top]], np.int64).view(np.uint64) + np.uint64(chunk * int(_EDGE) & _MASK))[0].astype(np.int64))
-                out.append((group, nodes[top], min(len(sets[i]) for i in part), np.array([nodes[i] for i in part], np.int64), tokens))
+                out.append((place, named(nodes[top], chunk), nodes[top], min(len(sets[i]) for i in part), np.array([nodes[i] for i in part], np.int64), tokens))
                 size += len(tokens)
             if size > 1 << 18:
                 yield made()
@@ -319,7 +323,7 @@ def _bounded(num: int, den: int):
 
 
 def _opened(num: int, den: int):
-    """Links (x, y) of roots, from rows that ask to members of an opened group."""
+    """Links (x, y) of roots, from rows that ask to members of an opened place."""
 
     def run(batches):
         for _, rows in _runs(batches, 2):
@@ -331,8 +335,7 @@ def _opened(num: int, den: int):
                     roots.append(root)
                     continue
                 members = members or Members(sets)
-                if (root, roots[0]) not in links and len(members.similar(tokens, num, den)):
-                    links.add((root, roots[0]))  # the members of a group have one root
+                links.update((root, roots[j]) for j in members.similar(tokens, num, den).tolist() if roots[j] != root)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["x", "y"])
 
     return run
@@ -354,18 +357,25 @@ def _search(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         if before is not None and n > 0.9 * before:
             break
         before, matrix = n, matrix.join(_few(alive.select("group")), "group", "left_semi")
-    members = stash(groups.select("group", "root", F.explode("nodes").alias("node")).join(_few(alive.select("group")), "group", "left_semi"), "members-left")
-    asking = stash(sets.select("node", "n", "tokens").join(_few(members), "node").select("group", "root", "node", "n", "tokens"), "queries")
-    by_rarity = asking.select("group", "root", "node", "n", F.explode("tokens").alias("token")).join(open_, "token").groupBy("group", "root", "node", "n").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("o"))
-    first = by_rarity.where(F.size("o") >= need("n")).select("group", "root", "node", F.explode(F.slice("o", F.lit(1), (F.size("o") - need("n") + 1).cast("int"))["token"]).alias("token"))
-    first = stash(first, "rarest-tokens")
-    other = first.select("token", F.col("group").alias("of"), F.col("root").alias("y")).distinct()
-    pairs = first.join(other, "token").where("root < y").select("node", F.col("of").alias("group")).distinct()
-    asked = lambda p: p.join(asking.select("node", "root", "tokens").dropDuplicates(["node"]), "node").select("group", "node", "root", "tokens")
-    reach = stash(_beside(groups.join(_few(alive.select("group")), "group", "left_semi").select("group", "root", "tokens"), asked(pairs), _bounded(num, den), "group long, node long"), "groups-to-open")
-    opened = asking.join(reach.select("group").distinct(), "group", "left_semi").select("group", "root", "tokens")
-    links = stash(_beside(opened, asked(reach), _opened(num, den), "x long, y long").distinct(), "links")
-    for t in (members, asking, first, reach):
+    # What is left is asked by place: groups of one chunk, linked or not, are alike, and have been compared with each other.
+    left = groups.join(_few(alive.select("group")), "group", "left_semi")
+    members = stash(left.select("place", "root", F.explode("nodes").alias("node")), "members-left")
+    asking = stash(sets.select("node", "n", "tokens").join(_few(members), "node").select("place", "root", "node", "n", "tokens"), "queries")
+    by_rarity = asking.select("place", "root", "node", "n", F.explode("tokens").alias("token")).join(open_, "token").groupBy("place", "root", "node", "n").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).alias("o"))
+    able = by_rarity.where(F.size("o") >= need("n")).select("place", "node", F.slice("o", F.lit(1), (F.size("o") - need("n") + 1).cast("int"))["token"].alias("first"))
+    able = stash(able, "rarest-tokens")
+    first = able.select("place", F.explode("first").alias("token")).distinct()
+    pairs = first.join(first.withColumnRenamed("place", "of"), "token").where("place < of").select("place", "of").distinct()
+    asking = stash(asking.join(_few(able.select("place", "node")), ["place", "node"], "left_semi"), "queries")
+    unions = stash(asking.groupBy("place").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")), "unions")  # of one chunk at most
+    asked = lambda p: p.join(asking.select("place", "node", "root", "tokens"), ["place", "node"]).select(F.col("of").alias("group"), "place", "node", "root", "tokens")
+    pairs = pairs.join(able.select("place", "node"), "place").select("of", "place", "node")
+    bounds = _beside(unions.select(F.col("place").alias("group"), F.lit(0).cast("long").alias("root"), "tokens"), asked(pairs), _bounded(num, den), "group long, node long")
+    reach = stash(bounds.distinct(), "places-to-open")
+    opened = asking.join(reach.select(F.col("group").alias("place")).distinct(), "place", "left_semi").select(F.col("place").alias("group"), "root", "tokens")
+    again = reach.join(asking.dropDuplicates(["node"]), "node").select("group", "node", "root", "tokens")
+    links = stash(_beside(opened, again, _opened(num, den), "x long, y long").distinct(), "links")
+    for t in (members, able, unions, reach):
         discard(t)
     return links
 
@@ -380,7 +390,7 @@ def similar(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataF
     release(spark)
     sets = stash(_token_sets(docs, wanted, k), "token-sets")
     dealt = sets.select("key", F.explode("places").alias("chunk"), "node", "n", "tokens", "lead").repartition("key", "chunk").sortWithinPartitions("key", "chunk", F.col("lead").desc(), "node")
-    groups = stash(map_arrow(dealt.drop("lead"), _grouped(num, den), "group long, root long, least long, nodes array<long>, tokens array<long>"), "groups")
+    groups = stash(map_arrow(dealt.drop("lead"), _grouped(num, den), "place long, group long, root long, least long, nodes array<long>, tokens array<long>"), "groups")
     release(spark)
     links = _search(groups, sets, num, den)
     linked = groups.select("root", F.explode("nodes").alias("node")).distinct()
