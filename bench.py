@@ -9,7 +9,7 @@ import time
 from soldlens import catalog
 from soldlens.session import get_spark
 
-HEADLINE = ("price_stats", "price_stats_with_shipping", "price_series_week", "scope_unkeyed_exact", "latest_position", "searches_report", "precedence_merge", "upsert_stats", "blocking_union_candidates", "parse_money_roundtrip", "parse_sold_date", "box_iou", "cache_key", "html_links")
+HEADLINE = ("price_stats", "price_stats_with_shipping", "price_series_week", "scope_unkeyed_exact", "latest_position", "searches_report", "precedence_merge", "upsert_stats", "blocking_candidates_whole", "parse_money_roundtrip", "parse_sold_date", "box_iou", "cache_key", "html_links")
 
 
 def main() -> None:

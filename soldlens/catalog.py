@@ -259,32 +259,6 @@ def page_row_replace(spark, d):
 # --- entity resolution ----------------------------------------------------------------------------------------------
 
 
-def _er(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey <= 3000").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    key, price, day = F.col("o_orderkey"), F.floor(F.col("o_totalprice") / 5000) * 5000.0, F.to_date("o_orderdate")
-    price, day = F.when(key % 7 != 0, price), F.when(key % 5 != 0, day)
-    rows = o.select(key, price.alias("price"), day.alias("sold_date"), F.col("o_orderpriority").alias("title_norm"))
-    left = rows.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("rid"), F.col("price").alias("r_price"), F.col("sold_date").alias("r_date"), F.col("title_norm").alias("r_title"))
-    return left, rows.where("o_orderkey % 3 = 1").select(F.col("o_orderkey").cast("string").alias("item_id"), "price", "sold_date", "title_norm")
-
-
-_ER = """WITH rows_ AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN floor(o_totalprice / 5000) * 5000.0 END AS price, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS sold_date, o_orderpriority AS title_norm FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey <= 3000),
-a AS (SELECT CAST(o_orderkey AS VARCHAR) AS rid, price AS r_price, sold_date AS r_date, title_norm AS r_title FROM rows_ WHERE o_orderkey % 3 = 0),
-b AS (SELECT CAST(o_orderkey AS VARCHAR) AS item_id, price, sold_date, title_norm FROM rows_ WHERE o_orderkey % 3 = 1),
-p AS (SELECT *, coalesce(CAST(r_price = price AS INT), 0) + coalesce(CAST(r_date = sold_date AS INT), 0) AS shared FROM a, b WHERE (r_price = price OR r_date = sold_date) AND coalesce(r_price = price, true) AND coalesce(r_date = sold_date, true))"""
-
-
-@query(f"{_ER} SELECT rid, item_id, shared FROM p")
-def blocking_union_candidates(spark, d):
-    return resolve.blocked_pairs(*_er(spark, d)).select("rid", "item_id", "shared")
-
-
-@query(f"""{_ER}, t AS (SELECT *, 4 AS tier FROM p WHERE r_title = title_norm), r AS (SELECT *, rank() OVER (PARTITION BY rid ORDER BY shared DESC) AS k FROM t)
-SELECT rid, min(item_id) AS item_id, 4 AS tier, max(shared) AS shared FROM r WHERE k = 1 GROUP BY rid HAVING count(DISTINCT (title_norm, price, sold_date)) = 1""")
-def best_fit_unique(spark, d):
-    return resolve.best_fit(resolve.scored_pairs(resolve.blocked_pairs(*_er(spark, d)), fuzzy=False))
-
-
 def _second_readings(spark, d):
     """A second reading of every order against all orders; either side misses some prices and dates."""
     o, key = table(spark, d, "orders"), F.col("o_orderkey")
@@ -311,13 +285,6 @@ def best_fit_whole(spark, d):
     return resolve.best_fit_by_looks(*_second_readings(spark, d))
 
 
-@query("""WITH d AS (SELECT doc_id, left(text, 60) AS a, left(text, 20 + CAST(doc_id % 40 AS INT)) AS b FROM documents)
-SELECT doc_id, CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 4 WHEN length(b) >= 20 THEN 3 ELSE 0 END AS tier, length(b) < length(a) AS truncates FROM d""")
-def title_tier_exact(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("a"), F.expr("substring(text, 1, cast(20 + doc_id % 40 as int))").alias("b"))
-    return t.select("doc_id", resolve.exact_tier(F.col("a"), F.col("b")).alias("tier"), text.truncates(F.col("b"), F.col("a")).alias("truncates"))
-
-
 def _beside_next(t, key, value, by=()):
     """Each row beside the one with the next key: two different titles."""
     after = t.select(*by, (F.col(key) - 1).alias(key), F.col(value).alias("next"))
@@ -366,10 +333,10 @@ def slug(spark, d):
     return table(spark, d, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT doc_id, regexp_replace(trim(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^a-z0-9]+', ' ', 'g')), '^new listing\\s+', '') AS title_norm FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, regexp_replace(trim(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[^a-z0-9]+', ' ', 'g')), '^new listing\\s+', '') AS title_norm FROM documents")
 def normalize_title_ascii(spark, d):
-    ascii_ = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return ascii_.select("doc_id", text.normalize_title_ascii(F.col("text")).alias("title_norm"))
+    """Every document; letters beyond ASCII part words here, where normalize_title keeps them."""
+    return table(spark, d, "documents").select("doc_id", text.normalize_title_ascii(F.col("text")).alias("title_norm"))
 
 
 @query()

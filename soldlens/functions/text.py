@@ -44,7 +44,8 @@ def normalize_title(titles: pd.Series) -> pd.Series:
 
 
 def normalize_keywords(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(clean_text(c)), r"(?U)\s+", " "))
+    """Invisible marks gone, white space collapsed, case folded (upper case and back, as one letter may have two small forms)."""
+    return clean_text(F.lower(F.upper(clean_text(c))))
 
 
 def synthetic_id(site: Column, title_norm: Column, price: Column, sold: Column) -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from soldlens.sources.shared import written
+
 EQUAL, TRUNCATED, MISREAD, TRUNCATED_MISREAD = 4, 3, 2, 1
-#: Rounds of absorption before the rest is left unmerged.
-ROUNDS = 5
 
 
 def shared_keys(price_a: Column, date_a: Column, price_b: Column, date_b: Column) -> Column:
@@ -133,8 +133,15 @@ def resolve(readings: DataFrame, real: DataFrame) -> DataFrame:
 
 
 def follow(aliases: DataFrame) -> DataFrame:
-    """Alias chains shortened to their ends by pointer jumping."""
-    for _ in range(ROUNDS):
+    """Alias chains (rid, item_id), one per rid, shortened to their ends by pointer jumping: each round halves what is left.
+
+    ValueError if they run in a circle, as no end is then reached in as many rounds as the longest chain could need.
+    """
+    aliases = written(aliases.select("rid", "item_id"), "aliases")
+    for _ in range(aliases.count().bit_length() + 1):
         onward = aliases.select(F.col("rid").alias("item_id"), F.col("item_id").alias("__next"))
-        aliases = aliases.join(onward, "item_id", "left").select("rid", F.coalesce("__next", "item_id").alias("item_id"))
-    return aliases
+        moved = written(aliases.join(onward, "item_id", "left").select("rid", F.coalesce("__next", "item_id").alias("item_id"), F.col("__next").isNotNull().alias("moved")), "aliases")
+        aliases = moved.select("rid", "item_id")
+        if moved.where("moved").isEmpty():
+            return aliases
+    raise ValueError("aliases run in a circle")

@@ -52,6 +52,6 @@ def publish(store: Store) -> None:
 def query(store: Store, keywords: str | None = None, **options) -> DataFrame:
     """The listing query over the current snapshots; a search's id is its keywords in their normal form."""
     observations = store.current("observations")
-    norm = " ".join((keywords or "").lower().split()) or None
+    norm = store.spark.range(1).select(text.normalize_keywords(F.lit(keywords or ""))).first()[0] or None  # as pages were stored
     searches = observations.select(F.col("search_id").alias("id"), F.col("search_id").alias("keywords_norm")).distinct()
     return listing.query_listings(store.current("listings"), observations, searches, norm, **options)

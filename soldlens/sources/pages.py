@@ -46,7 +46,7 @@ def cached(cache: DataFrame, key: Column | str, ttl_hours: float, now: Column) -
     """The latest valid page of a key: not expired (a ttl of 0 or less never expires) and with the right digest."""
     rows = cache.where((F.col("key") == key) & (F.sha1("html") == F.col("sha1")))
     if ttl_hours > 0:
-        rows = rows.where(F.col("fetched_at") > now - F.make_interval(hours=F.lit(int(ttl_hours))))
+        rows = rows.where(F.col("fetched_at") > now - F.make_dt_interval(secs=F.lit(round(ttl_hours * 3600, 6))))
     return rows.orderBy(F.col("fetched_at").desc()).limit(1)
 
 

@@ -37,8 +37,20 @@ class Store:
         """Adds facts; a table may gain columns, which older rows have as null."""
         rows.write.mode("append").parquet(f"{self.root}/{name}")
 
+    def put(self, name: str, rows: DataFrame, part: str) -> None:
+        """Adds facts under a part's name (folders `key=value`), in place of what is there: writing them again changes nothing."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}.parts/{part}")
+
     def facts(self, name: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{name}")
+        """All facts of a table; LookupError without any."""
+        found = []
+        for folder in (name, f"{name}.parts"):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+            if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+                found.append(self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{folder}"))
+        if not found:
+            raise LookupError(f"no facts of {name} in {self.root}")
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
 
     def publish(self, name: str, rows: DataFrame) -> str:
         """Writes a snapshot, then points to it."""

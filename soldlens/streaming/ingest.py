@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soldlens.sources.shared import new_folder
 from soldlens.sources.store import Store
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/soldlens"
-    return f"{base}/streams/{uuid.uuid4().hex}"
-
-
 def daily_counts(events: DataFrame, delay: str = "2 days") -> DataFrame:
     """day, event_type, n and total of a stream of events (ts, event_type, value), complete once the watermark has passed."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -24,25 +20,21 @@ def daily_counts(events: DataFrame, delay: str = "2 days") -> DataFrame:
 
 def run_available(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs the stream over what is there now; the last complete result, written in the shared folder."""
-    spark, at = stream.sparkSession, _folder(stream.sparkSession)
+    spark, at = stream.sparkSession, new_folder(stream.sparkSession, "stream")
     query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def ingest_readings(readings: DataFrame, store: Store, checkpoint: str, name: str = "readings") -> None:
-    """Appends each micro-batch once: replayed batches carry their number and are left out."""
+def ingest_readings(readings: DataFrame, store: Store, checkpoint: str, name: str = "readings", stream: str | None = None) -> None:
+    """Appends each micro-batch once. A batch is known by its stream, the checkpoint unless named, and its number within it.
+
+    Each batch has a folder of its own, which a replay writes anew: nothing is read to find out whether it was there.
+    """
+    stream_id = hashlib.sha256((stream or checkpoint).encode()).hexdigest()[:16]
 
     def save(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(number))
-        try:
-            done = store.facts(name).where(F.col("batch_id") == number).limit(1).count()
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = 0
-        if not done:
-            store.append(name, rows)
+        store.put(name, batch.withColumn("batch_id", F.lit(number)), f"stream={stream_id}/batch={number}")
 
     readings.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
