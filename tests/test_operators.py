@@ -115,3 +115,40 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert sorted([_norm(r[c]) for c in columns] for r in df.collect()) == sorted([_norm(r[i]) for i in at] for r in want.fetchall())
+
+
+def test_alias_chains_of_any_length(spark):
+    from soldlens.operators import resolve
+
+    chain = [(f"r{i:03}", f"r{i - 1:03}") for i in range(1, 81)]
+    got = resolve.follow(spark.createDataFrame(chain, "rid string, item_id string"))
+    assert {r.item_id for r in got.collect()} == {"r000"} and got.count() == 80
+    assert resolve.follow(spark.createDataFrame([], "rid string, item_id string")).count() == 0
+    with pytest.raises(ValueError):
+        resolve.follow(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "rid string, item_id string"))
+
+
+@pytest.mark.parametrize(("ttl", "found"), [(0.5, 1), (0.2, 0), (1.9, 1), (0, 1), (-1, 1)])
+def test_cache_age_in_parts_of_an_hour(spark, ttl, found):
+    from soldlens.sources import pages
+
+    made = spark.sql("SELECT 'k' AS key, 'x' AS html, sha1('x') AS sha1, timestamp'2026-04-01 12:00:00' AS fetched_at")
+    assert pages.cached(made, "k", ttl, F.expr("timestamp'2026-04-01 12:20:00'")).count() == found
+
+
+def test_two_streams_into_one_store(spark, tmp_path):
+    from soldlens.sources.store import Store
+    from soldlens.streaming import ingest
+
+    store = Store(spark, str(tmp_path / "store"))
+    for name in ("a", "b"):
+        folder = str(tmp_path / name)
+        spark.createDataFrame([(name,)], "title string").write.parquet(folder)
+        stream = spark.readStream.schema("title string").parquet(folder)
+        for checkpoint in (name, name):  # run again: nothing new
+            ingest.ingest_readings(stream, store, str(tmp_path / f"state-{checkpoint}"))
+    assert sorted(r.title for r in store.facts("readings").collect()) == ["a", "b"]
+    ingest.ingest_readings(spark.readStream.schema("title string").parquet(str(tmp_path / "a")), store, str(tmp_path / "lost"), stream=str(tmp_path / "state-a"))
+    assert store.facts("readings").count() == 2  # a replay under the same stream writes its batch anew
+    store.append("readings", spark.createDataFrame([("c", 1.0)], "title string, price double"))
+    assert store.facts("readings").count() == 3
