@@ -14,6 +14,7 @@ mark spaces behind words, raise ValueError.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import heapq
 import re
@@ -133,6 +134,11 @@ class Codec:
         #: What each id stands for in a text that starts before it; None where bytes or controls need care.
         self.raw = [None if k in (BYTE, CONTROL) else x.replace(SPACE, " ") for x, k in zip(self.said, kinds, strict=True)]
         self.squeeze = self.spec.remove_extra_whitespaces
+        #: The same with bytes as Python's escapes for them, and one that is never text for controls, where the first space is the normaliser's own.
+        self.shown = None
+        if self.spec.add_dummy_prefix and not self.squeeze:
+            self.shown = [bytes([self.byte_of[i]]).decode("ascii", "surrogateescape") if i in self.byte_of else "\udcff" if x is None else x for i, x in enumerate(self.raw)]
+        self.names = [str(i) for i in range(len(kinds))]
         self.blank = SPACE if self.spec.escape_whitespaces else " "
         self.plain = not self.map.units and not self.user and self.spec.add_dummy_prefix and not self.squeeze and self.spec.escape_whitespaces
         # no piece holds a space after something else: words cannot merge with each other
@@ -159,18 +165,17 @@ class Codec:
 
     def _learn(self, words: list[str]) -> None:
         """Remembers the ids of words, merging in all of them at once: each round merges the best pair of every word that has one."""
-        rest = [w for w in words if len(w) > BROAD or SPACE * 2 in w]
-        for w in rest:
-            self.memo[w] = self._word(w)[0]
-        if rest:
-            words = [w for w in words if len(w) <= BROAD and SPACE * 2 not in w]
-        for low, high in ((0, NARROW), (NARROW, BROAD)):
-            some = [w for w in words if low < len(w) <= high]
-            if some:
-                self._learn_alike(some)
-
-    def _learn_alike(self, words: list[str]) -> None:
-        size = np.array([len(w) for w in words])
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        other = size > BROAD
+        if SPACE * 2 in "\n".join(words):
+            other |= np.array([SPACE * 2 in w for w in words])
+        for k in np.flatnonzero(other).tolist():
+            self.memo[words[k]] = self._word(words[k])[0]
+        for some in (~other & (size <= NARROW), ~other & (size > NARROW)):
+            if some.any():
+                self._learn_alike([words[k] for k in np.flatnonzero(some).tolist()], size[some])
+
+    def _learn_alike(self, words: list[str], size: np.ndarray) -> None:
         code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         ids = self.by_char[code].astype(np.int64)
         ids = np.where(ids >= 0, ids, -1 - code.astype(np.int64))  # characters that the vocabulary lacks are below zero until the end
@@ -197,15 +202,12 @@ class Codec:
 
     def _remember(self, words: list[str], a: np.ndarray) -> None:
         kept = a != _PAD
-        flat, ends = a[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
-        odd = (kept & (a < 0)).any(1).tolist()
-        begin = 0
-        for w, end, has_bytes in zip(words, ends, odd, strict=True):
-            ids = flat[begin:end]
-            if has_bytes:
-                ids = [y for x in ids for y in ((x,) if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode()])]
-            self.memo[w] = tuple(ids)
-            begin = end
+        flat, ends = a[kept].tolist(), np.cumsum(kept.sum(1))
+        begins = np.concatenate(([0], ends[:-1])).tolist()
+        self.memo.update(zip(words, [flat[i:j] for i, j in zip(begins, ends.tolist(), strict=True)], strict=True))
+        for k in np.flatnonzero((kept & (a < 0)).any(1)).tolist():
+            ids = self.memo[words[k]]
+            self.memo[words[k]] = [y for x in ids for y in ((x,) if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode()])]
 
     def _prefix(self, raw: bytes, at: int) -> tuple[bytes, int]:
         for u in self.user:
@@ -378,6 +380,10 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text behind ids; bytes that are not UTF-8 become U+FFFD one by one."""
+        if ids and self.shown is not None and self.raw[ids[0]] and ids[0] != self.unknown:
+            text = "".join(map(self.shown.__getitem__, ids[:-1] if ids[-1] == self.end else ids))
+            with contextlib.suppress(UnicodeDecodeError):
+                return (text if text.isascii() else text.encode("utf-8", "surrogateescape").decode()).removeprefix(" ")
         out: list[str] = []
         opened, held = not (self.spec.add_dummy_prefix or self.squeeze), bytearray()
         for i in ids:
@@ -462,7 +468,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             n, a, b, covered = [], [], [], []
             for ids, spans in c.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids))
-                a.append(sha(" ".join(map(str, ids))))
+                a.append(sha(" ".join(map(c.names.__getitem__, ids))))
                 b.append(sha(c.decode(ids)))
                 covered.append(int(spans[:, 1].max() - spans[0, 0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(covered, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
