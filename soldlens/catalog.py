@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soldlens.functions import categories, dates, money, text, urls
-from soldlens.operators import geometry, listing, merge, reports, resolve, slices, stats
+from soldlens.operators import geometry, identity, listing, merge, reports, resolve, slices, stats
 from soldlens.plans import observations, priced_events, readings, sales, table
 from soldlens.sources import cards, dataset, export, pages
 from soldlens.streaming import ingest
@@ -579,3 +579,112 @@ def tile_labels(spark, d):
     t = boxes.select(F.col("page").alias("render")).distinct().select("render", tile)
     t = t.select("render", "tile", geometry.box(F.lit(0.0), F.col("tile") * 40.0, F.lit(1000.0), F.lit(50.0)).alias("tile_box"), F.lit(1.0).alias("scale"), F.lit(1000).alias("img_w"), F.lit(50).alias("img_h"))
     return dataset.visible_boxes(b, t).select("render", "tile", "region", "cls", F.round("visible", 4).alias("visible"))
+
+
+# --- identity, and entries of the interfaces that have no query above ------------------------------------------------
+
+
+def _known_sales(spark, d):
+    """Every order as a row, seven in eight with a real id; and a reading of every order, half of them without an id."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    shown = o.select(key, F.concat(F.lit("order number "), key.cast("string")).alias("title_norm"), F.lit("s").alias("site"), F.round("o_totalprice", 2).alias("price"), F.to_date("o_orderdate").alias("sold_date"))
+    own = text.synthetic_id(F.col("site"), F.col("title_norm"), F.col("price"), F.col("sold_date"))
+    rows = shown.where("o_orderkey % 5 <> 0").select(F.when(key % 8 == 0, own).otherwise(key.cast("string")).alias("item_id"), "site", "title_norm", "price", "sold_date")
+    read = shown.withColumn("price", F.when(key % 3 != 0, F.col("price"))).withColumn("sold_date", F.when(key % 7 != 0, F.col("sold_date")))
+    read = read.select(key.cast("string").alias("rid"), F.when(key % 2 == 0, key.cast("string")).alias("item_id"), "site", "title_norm", "price", "sold_date")
+    aliased = shown.where("o_orderkey % 11 = 0").select(own.alias("alias_id"), F.concat(F.lit("merged-"), key.cast("string")).alias("item_id"))
+    return read, rows, aliased
+
+
+_SHORT = "concat('x-', left(sha1(concat('s|order number ', o_orderkey, '|', coalesce(printf('%.2f', {p}), ''), '|', coalesce(strftime({d}, '%Y-%m-%d'), ''))), 16))"
+_FULL_ID = _SHORT.format(p="round(o_totalprice, 2)", d="o_orderdate")
+_READ_ID = _SHORT.format(p="CASE WHEN o_orderkey % 3 <> 0 THEN round(o_totalprice, 2) END", d="CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END")
+
+
+@query(f"""WITH o AS (SELECT *, {_READ_ID} AS read_id, {_FULL_ID} AS full_id, o_orderkey % 3 <> 0 OR o_orderkey % 7 <> 0 AS keyed, read_id = full_id AS whole FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS rid, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) WHEN whole AND o_orderkey % 11 = 0 THEN concat('merged-', o_orderkey)
+ WHEN o_orderkey % 5 <> 0 AND keyed THEN CAST(o_orderkey AS VARCHAR) ELSE read_id END AS item_id,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'real' WHEN whole AND o_orderkey % 11 = 0 THEN 'alias' WHEN o_orderkey % 5 <> 0 AND keyed THEN 'match' ELSE 'new' END AS how FROM o""")
+def identity_assignment(spark, d):
+    """A reading of every order against rows of the others; titles differ in a number, so only a reading's own row fits."""
+    return identity.assign(*_known_sales(spark, d), fuzzy=False)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS rid, CAST(o_orderkey % 10 AS VARCHAR) AS item_id FROM orders WHERE o_orderkey >= 10")
+def alias_replay(spark, d):
+    """Chains of ids, each ten below the one before, followed to their ends over all orders."""
+    o = table(spark, d, "orders").where("o_orderkey >= 10")
+    return resolve.follow(o.select(F.col("o_orderkey").cast("string").alias("rid"), (F.col("o_orderkey") - 10).cast("string").alias("item_id")))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS item_id, concat('order number ', o_orderkey) AS title_norm, round(o_totalprice, 2) AS price, CAST(o_orderdate AS DATE) AS sold_date FROM orders""")
+def absorb_fixpoint(spark, d):
+    """Every order, real, beside two synthetic readings that show its price or its date alone: the rows that are left."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    title, price, day = F.concat(F.lit("order number "), key.cast("string")), F.round("o_totalprice", 2), F.to_date("o_orderdate")
+    row = lambda i, p, s: o.select(i.alias("item_id"), F.lit("s").alias("site"), title.alias("title_norm"), p.cast("double").alias("price"), s.alias("sold_date"))
+    none = F.lit(None)
+    rows = row(key.cast("string"), price, none.cast("date")).unionByName(row(F.concat(F.lit("x-a"), key), price, day)).unionByName(row(F.concat(F.lit("x-b"), key), none, day))
+    return identity.absorb(rows, fuzzy=False)[0].drop("site")
+
+
+@query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey = 3")
+def filter_site(spark, d):
+    s = table(spark, d, "supplier").withColumn("site", F.col("s_nationkey").cast("string")).withColumn("sponsored", F.lit(False))
+    return listing.filtered(s, site="3").select("s_suppkey", "s_nationkey")
+
+
+@query(f"SELECT item_id, price FROM ({_SALES}) WHERE item_id = '7-1'")
+def filter_item_id(spark, d):
+    return listing.filtered(sales(spark, d), item_id="7-1", include_sponsored=True).select("item_id", "price")
+
+
+@query(f"SELECT item_id, l_suppkey, round(price + shipping, 2) AS total_price FROM ({_SALES})")
+def total_price(spark, d):
+    return sales(spark, d).select("item_id", "l_suppkey", money.total_price(F.col("price"), F.col("shipping")).alias("total_price"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS at FROM events")
+def iso_utc(spark, d):
+    return table(spark, d, "events").select("event_id", dates.iso_utc(F.col("ts")).alias("at"))
+
+
+@query("SELECT user_id, event_type, max(value) AS value, arg_max(event_id, (value, -event_id)) AS event_id FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type")
+def most_confident_field(spark, d):
+    e = table(spark, d, "events").where("value IS NOT NULL").select("user_id", "event_type", F.struct("value", -F.col("event_id")).alias("conf"), "value", "event_id")
+    return geometry.most_confident(e, ["user_id", "event_type"]).select("user_id", "event_type", "value", "event_id")
+
+
+@query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linestatus, l_quantity")
+def replayed_readings(spark, d):
+    """Each line twice, as a replay gives it: every reading counts once."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("search_id"), F.col("l_returnflag").alias("page"), F.col("l_linestatus").alias("extraction"), F.col("l_quantity").alias("position")).agg(F.min("l_linenumber").alias("l_linenumber"))
+    return ingest.first_of_each(rows.unionByName(rows)).select(F.col("search_id").alias("l_orderkey"), "l_linenumber")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'dom' WHEN page_id % 2 = 0 THEN 'vision' ELSE 'llm' END AS extraction FROM pages")
+def extractor_fallback(spark, d):
+    p = table(spark, d, "pages").select("page_id")
+    some = lambda name, condition: lambda left: left.where(condition).withColumn("extraction", F.lit(name))
+    return pages.first_that_found(p, "page_id", some("dom", "page_id % 3 = 0"), some("vision", "page_id % 2 = 0"), some("llm", "true"))
+
+
+@query("""WITH c AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'expected' WHEN o_orderkey % 10 = 1 THEN 'predicted' ELSE 'both' END AS side, (o_orderkey % 25) / 25.0 AS s FROM orders)
+SELECT round(count(*) FILTER (side = 'both') / count(*) FILTER (side <> 'expected'), 4) AS precision, round(count(*) FILTER (side = 'both') / count(*) FILTER (side <> 'predicted'), 4) AS recall,
+round(avg(s) FILTER (side = 'both'), 4) AS mean_similarity, round(count(*) FILTER (side = 'both' AND s >= 0.9) / count(*) FILTER (side = 'both'), 4) AS share_near FROM c""")
+def card_report(spark, d):
+    key = F.col("o_orderkey") % 10
+    side = F.when(key == 0, "expected").when(key == 1, "predicted").otherwise("both")
+    return reports.card_report(table(spark, d, "orders").select(side.alias("side"), (F.col("o_orderkey") % 25 / 25.0).alias("similarity")))
+
+
+@query("SELECT event_type, count(*) AS requests, CAST(coalesce(sum(event_id), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(user_id), 0) AS BIGINT) AS tokens_out, CAST(coalesce(sum(CASE WHEN event_id % 2 = 0 THEN 1 END), 0) AS BIGINT) AS cached FROM events GROUP BY event_type")
+def usage_sums(spark, d):
+    calls = table(spark, d, "events").select("event_type", F.col("event_id").alias("tokens_in"), F.col("user_id").alias("tokens_out"), F.when(F.col("event_id") % 2 == 0, 1).alias("cached"))
+    return reports.usage(calls, ["event_type"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, round(greatest(0, least(1, (l_discount + l_tax) / 2 * 0.9 * CASE WHEN l_quantity > 25 THEN 0.5 ELSE 1 END * CASE WHEN l_linenumber = 1 THEN 0.7 ELSE 1 END)), 3) AS confidence FROM lineitem")
+def confidence_score(spark, d):
+    fields = F.map_from_arrays(F.array(F.lit("price"), F.lit("title")), F.array("l_discount", "l_tax"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", reports.confidence(fields, F.lit(0.9), F.col("l_quantity") > 25, F.col("l_linenumber") == 1).alias("confidence"))

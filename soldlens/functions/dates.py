@@ -87,7 +87,7 @@ def period_key(day: Column, period: str) -> Column:
     if period == "day":
         return F.date_format(day, "yyyy-MM-dd")
     if period == "week":
-        return F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day).cast("int"), F.weekofyear(day))
+        return F.when(day.isNotNull(), F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), day).cast("int"), F.weekofyear(day)))
     if period == "month":
         return F.date_format(day, "yyyy-MM")
     raise ValueError(f"period must be day, week or month, not {period!r}")

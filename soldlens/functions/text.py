@@ -50,7 +50,7 @@ def normalize_keywords(c: Column) -> Column:
 
 def synthetic_id(site: Column, title_norm: Column, price: Column, sold: Column) -> Column:
     """x- and 16 hex digits of the SHA-1 over site, title, price and date."""
-    key = F.concat_ws("|", site, title_norm, F.coalesce(F.format_string("%.2f", price), F.lit("")), F.coalesce(F.date_format(sold, "yyyy-MM-dd"), F.lit("")))
+    key = F.concat_ws("|", site, title_norm, F.when(price.isNotNull(), F.format_string("%.2f", price)).otherwise(""), F.coalesce(F.date_format(sold, "yyyy-MM-dd"), F.lit("")))
     return F.concat(F.lit("x-"), F.substring(F.sha1(key), 1, 16))
 
 

@@ -76,3 +76,20 @@ def cost_estimate(slices: DataFrame, prompt_tokens: int, output_tokens: int, usd
 def search_pages(searches: DataFrame, pages: int) -> DataFrame:
     """Every search with every page number."""
     return searches.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(pages))))
+
+
+def card_report(cards: DataFrame) -> DataFrame:
+    """cards: side ("both", "expected" or "predicted") and similarity (of titles, where both): precision, recall, mean similarity, share of 0.9 and over.
+
+    A ratio without anything to count is null.
+    """
+    n = lambda *sides: F.count_if(F.col("side").isin(*sides))
+    ratio = lambda a, b: F.round(F.try_divide(a, b), 4)
+    near = F.count_if((F.col("side") == "both") & (F.col("similarity") >= 0.9))
+    return cards.agg(ratio(n("both"), n("both", "predicted")).alias("precision"), ratio(n("both"), n("both", "expected")).alias("recall"), F.round(F.avg(F.when(F.col("side") == "both", F.col("similarity"))), 4).alias("mean_similarity"), ratio(near, n("both")).alias("share_near"))
+
+
+def usage(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """calls (tokens_in, tokens_out, cached): requests and token sums per keys; what a call does not say counts as none."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), total("tokens_in"), total("tokens_out"), total("cached"))

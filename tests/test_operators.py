@@ -152,3 +152,25 @@ def test_two_streams_into_one_store(spark, tmp_path):
     assert store.facts("readings").count() == 2  # a replay under the same stream writes its batch anew
     store.append("readings", spark.createDataFrame([("c", 1.0)], "title string, price double"))
     assert store.facts("readings").count() == 3
+
+
+def test_absorption_by_brute_force(spark):
+    """Partial readings of one sale, in any order, end as one row; readings that fit two rows stay."""
+    from datetime import date
+
+    from soldlens.operators import identity
+
+    full = "hot cars nissan skyline gt r r34 zamac long title"
+    day = date(2026, 4, 1)
+    rows = [
+        ("100", "s", full, 10.0, day), ("x-1", "s", full, None, day), ("x-2", "s", full[:30], 10.0, None), ("x-3", "s", full.replace("skyline", "skyl1ne"), 10.0, day),
+        ("200", "s", "twin", 5.0, day), ("201", "s", "twin", 5.0, date(2026, 4, 2)), ("x-4", "s", "twin", 5.0, None),
+        ("x-5", "s", "nothing shown", None, None), ("x-6", "t", full, 10.0, day),
+        ("x-7", "s", "alone", 7.0, None), ("x-8", "s", "alone", 7.0, day),
+    ]
+    made = spark.createDataFrame(rows, "item_id string, site string, title_norm string, price double, sold_date date")
+    left, aliases = identity.absorb(made)
+    assert {(r.item_id, r.price, r.sold_date) for r in left.collect()} == {("100", 10.0, day), ("200", 5.0, day), ("201", 5.0, date(2026, 4, 2)), ("x-4", 5.0, None), ("x-5", None, None), ("x-6", 10.0, day), ("x-7", 7.0, day)}
+    assert {(r.rid, r.item_id) for r in aliases.collect()} == {("x-1", "100"), ("x-2", "100"), ("x-3", "100"), ("x-8", "x-7")}
+    again, none = identity.absorb(left)
+    assert again.count() == left.count() and none.count() == 0
