@@ -97,13 +97,20 @@ class PairTable:
 
     def worth(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The value of each pair of ids, _NEVER where they do not merge; what is below zero never does."""
-        key = np.where((a >= 0) & (b >= 0), a << _ID | b, -2)
-        first = self._place(key, 0)
-        out = np.where(self.keys[first] == key, self.values[first], _NEVER)
-        for probe in range(1, self.probes):
-            at = (first + probe) & ((1 << self.bits) - 1)
-            out = np.where(self.keys[at] == key, self.values[at], out)
-        return out
+        key = np.where((a >= 0) & (b >= 0), a << _ID | b, -2).ravel()
+        at = self._place(key, 0)
+        held = self.keys[at]
+        out = np.where(held == key, self.values[at], _NEVER)
+        rest = np.flatnonzero((held != key) & (held != -1) & (key != -2))
+        at = at[rest]
+        while len(rest):
+            at = at + 1 & (1 << self.bits) - 1
+            held = self.keys[at]
+            hit = held == key[rest]
+            out[rest[hit]] = self.values[at[hit]]
+            more = ~hit & (held != -1)
+            rest, at = rest[more], at[more]
+        return out.reshape(a.shape)
 
 
 class Codec:
@@ -437,8 +444,8 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] |
     def run(batches):
         c = codec(path)
         for batch in batches:
-            found = list(c.encode_all(batch.to_pylist()))
-            yield pa.StructArray.from_arrays([_lists([i for i, _ in found]), _lists([s.ravel() for _, s in found])], ["ids", "spans"])
+            found = [(np.array(ids, np.int32), spans.astype(np.int32).ravel()) for ids, spans in c.encode_all(batch.to_pylist())]
+            yield pa.StructArray.from_arrays([_lists([f[k] for f in found]) for k in (0, 1)], ["ids", "spans"])
 
     row = F.struct(*columns) if columns else F.struct(F.lit(0))
     rows = df.select(row.alias("row"), arrow_column(run, _ENCODED, text_of(text)).alias("encoded"))
