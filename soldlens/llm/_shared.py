@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step handles; a longer text makes a step of its own.
 STEP_BYTES = 1 << 19
 #: Rows and bytes that Spark sends to Python at once: bounds the worker's memory when texts are long.
-ARROW_ROWS, ARROW_BYTES = "1000", str(4 << 20)
+ARROW_ROWS, ARROW_BYTES = "400", str(2 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
