@@ -32,7 +32,7 @@ from soldlens.llm._shared import arrow_column, bounded_batches, map_arrow, text_
 
 SPACE = "▁"
 #: Words that a task remembers, and their length: bounds on memory only.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 48
+REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 #: Fixed values of the model file: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Bits of an id in a pair's key, and the worth of two ids that do not merge.
