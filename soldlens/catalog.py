@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from soldlens.functions import categories, dates, money, text, urls
 from soldlens.operators import geometry, identity, listing, merge, reports, resolve, slices, stats
 from soldlens.plans import observations, priced_events, readings, sales, table
-from soldlens.sources import cards, dataset, export, pages
+from soldlens.sources import cards, dataset, export, pages, transcribed
 from soldlens.streaming import ingest
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
@@ -688,3 +688,55 @@ def usage_sums(spark, d):
 def confidence_score(spark, d):
     fields = F.map_from_arrays(F.array(F.lit("price"), F.lit("title")), F.array("l_discount", "l_tax"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", reports.confidence(fields, F.lit(0.9), F.col("l_quantity") > 25, F.col("l_linenumber") == 1).alias("confidence"))
+
+
+# --- transcribed cards, texts off pixels, crops ----------------------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT *, bool_or(l_linenumber = 4) OVER (PARTITION BY l_orderkey ORDER BY i) AS below FROM ({_ORDER_LINES})) SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS position,
+ concat('Part ', l_partkey) AS title, NOT below AS matches_query, CASE WHEN l_returnflag <> 'N' THEN round(l_extendedprice, 2) END AS price, CASE WHEN l_returnflag = 'R' THEN round(l_extendedprice + 10, 2) END AS original_price,
+ concat('$', printf('%.2f', l_extendedprice)) AS price_text, CASE WHEN l_linestatus = 'O' THEN 0.0 ELSE round(l_quantity, 2) END AS shipping, CAST(l_shipdate AS DATE) AS sold_date, 'Pre-Owned' AS condition,
+ CASE WHEN l_linestatus = 'F' THEN 'auction' ELSE 'best_offer' END AS listing_format, CASE WHEN l_linestatus = 'F' THEN CAST(l_linenumber AS INT) END AS bids FROM e WHERE l_linenumber % 3 <> 0""")
+def transcribed_cards(spark, d):
+    """Every order's lines as a transcribed page: untitled entries, struck prices, and loose matches from the fourth line on."""
+    line = F.col("l_linenumber")
+    usd = lambda c: F.format_string("$%.2f", c)
+    by_flag = lambda a, n, r: F.when(F.col("l_returnflag") == "A", a).when(F.col("l_returnflag") == "N", n).otherwise(r)
+    price, none = F.col("l_extendedprice"), F.lit(None).cast("string")
+    closed = F.col("l_linestatus") == "F"
+    entry = F.struct(
+        "i", F.when(line % 3 == 0, " ").otherwise(F.format_string("New Listing Part %d", "l_partkey")).alias("title"), by_flag(usd(price), none, usd(price)).alias("price_text"), by_flag(none, usd(price), usd(price + 10)).alias("original_price_text"),
+        F.date_format("l_shipdate", "'Sold' MMM d, yyyy").alias("sold_date_text"), F.when(closed, F.format_string("+$%.2f delivery", "l_quantity")).otherwise("Free delivery").alias("shipping_text"), F.lit("Pre-Owned · Maker").alias("condition"),
+        F.when(closed, none).otherwise("or Best Offer").alias("format_text"), F.when(closed, F.format_string("%d bids", line)).alias("bids_text"), (line == 4).alias(transcribed.FLAG),
+    )
+    answers = _lines(spark, d).groupBy(F.col("l_orderkey").alias("page")).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("answer"))
+    read = transcribed.listings(transcribed.entries(answers))
+    return read.select("page", "position", "title", "matches_query", "price", "original_price", "price_text", "shipping", "sold_date", "condition", "listing_format", "bids")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey, concat('Part ', l_partkey) AS title, round(l_extendedprice, 2) AS price, CASE WHEN l_returnflag = 'A' THEN 'GBP' ELSE 'USD' END AS currency, CASE WHEN l_linestatus = 'O' THEN 0.0 END AS shipping,
+ CAST(l_shipdate AS DATE) AS sold_date, CASE WHEN l_tax > 0.04 THEN 'Pre-Owned' END AS condition FROM lineitem""")
+def pixel_cards(spark, d):
+    """Every line as the texts that were read off its card."""
+    sign = F.when(F.col("l_returnflag") == "A", "£%.2f").otherwise("$%.2f")
+    shown = {"title": F.format_string("NEW LISTING Part %d", "l_partkey"), "price": F.when(sign == "£%.2f", F.format_string("£%.2f", "l_extendedprice")).otherwise(F.format_string("$%.2f", "l_extendedprice")), "shipping": F.when(F.col("l_linestatus") == "O", "Free delivery"), "sold_date": F.date_format("l_shipdate", "'Sold' d MMM yyyy"), "condition": F.when(F.col("l_tax") > 0.04, " Pre-Owned")}
+    texts = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in shown.items()]), lambda e: e["v"].isNotNull()))
+    read = transcribed.from_pixels(table(spark, d, "lineitem").withColumn("texts", texts), ["l_orderkey", "l_linenumber", "l_suppkey"])
+    return read.select("l_orderkey", "l_linenumber", "l_suppkey", "title", "price", "currency", "shipping", "sold_date", "condition")
+
+
+@query(f"""WITH b AS ({_BOXES}), o AS (SELECT a.page, a.id, a.y, a.h, a.y + a.h / 2 AS m, c.y AS oy, c.h AS oh, c.y + c.h / 2 AS om FROM b a LEFT JOIN b c ON c.page = a.page AND c.id <> a.id AND least(a.x + a.w, c.x + c.w) > greatest(a.x, c.x)),
+t AS (SELECT page, id, any_value(y) AS y, any_value(h) AS h, max(least(oy + oh, m - 1)) FILTER (om < m) AS roof, min(greatest(oy, m + 1)) FILTER (om > m) AS floor FROM o GROUP BY page, id)
+SELECT page, id, round(greatest(y, coalesce(roof, y)), 4) AS top, round(greatest(1.0, least(y + h, coalesce(floor, y + h)) - greatest(y, coalesce(roof, y))), 4) AS height FROM t""")
+def trimmed_boxes(spark, d):
+    """Each box cut where others of its page come in."""
+    boxed = _boxes(spark, d).select("page", "id", geometry.box(*(F.col(c) for c in "xywh")).alias("box"))
+    beside = boxed.groupBy("page").agg(F.collect_list(F.struct("id", "box")).alias("all"))
+    others = F.transform(F.filter("all", lambda o: o["id"] != F.col("id")), lambda o: o["box"])
+    cut = boxed.join(beside, "page").select("page", "id", geometry.trimmed(F.col("box"), others).alias("cut"))
+    return cut.select("page", "id", F.round("cut.y", 4).alias("top"), F.round("cut.h", 4).alias("height"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 20 THEN 20 ELSE p_size END AS w, CASE WHEN p_size > 20 THEN greatest(1, CAST(round_even(p_partkey * 20.0 / p_size, 0) AS BIGINT)) ELSE p_partkey END AS h FROM part""")
+def scaled_sizes(spark, d):
+    return table(spark, d, "part").select("p_partkey", geometry.scaled_size(F.col("p_size"), F.col("p_partkey"), 20).alias("s")).select("p_partkey", "s.w", "s.h")

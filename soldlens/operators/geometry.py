@@ -40,6 +40,35 @@ def clip(b: Column, to: Column) -> Column:
     return box(x, y, F.greatest(F.least(b["x"] + b["w"], to["x"] + to["w"]) - x, F.lit(0.0)), F.greatest(F.least(b["y"] + b["h"], to["y"] + to["h"]) - y, F.lit(0.0)))
 
 
+def trimmed(b: Column, others: Column) -> Column:
+    """The box cut above and below where a box of the same column, among an array of others, comes in; its middle stays."""
+    middle = b["y"] + b["h"] / 2
+    beside = F.filter(others, lambda o: F.least(b["x"] + b["w"], o["x"] + o["w"]) > F.greatest(b["x"], o["x"]))
+    at = lambda o: o["y"] + o["h"] / 2
+    floor = F.array_min(F.transform(F.filter(beside, lambda o: at(o) > middle), lambda o: F.greatest(o["y"], middle + 1)))
+    roof = F.array_max(F.transform(F.filter(beside, lambda o: at(o) < middle), lambda o: F.least(o["y"] + o["h"], middle - 1)))
+    top, bottom = F.greatest(b["y"], roof), F.least(b["y"] + b["h"], floor)  # greatest and least skip nulls
+    return box(b["x"], top, b["w"], F.greatest(bottom - top, F.lit(1.0)))
+
+
+def strip_for(b: Column, strips: Column) -> Column:
+    """The number, from 0, of the strip (struct<y, h>) to read a box from: one that shows it whole, then shows most, then leaves most room."""
+
+    def seen(s: Column, i: Column) -> Column:
+        top, bottom = b["y"] - s["y"], b["y"] + b["h"] - s["y"]
+        room = F.least(top, s["h"] - bottom)
+        return F.struct((room >= 0).alias("whole"), (F.least(bottom, s["h"]) - F.greatest(top, F.lit(0.0))).alias("inside"), room.alias("room"), (-i).alias("last"))
+
+    best = F.array_max(F.transform(strips, seen))
+    return F.when(best["inside"] >= 2, -best["last"])
+
+
+def scaled_size(w: Column, h: Column, max_width: int) -> Column:
+    """struct<w, h> of an image shrunk to a width, at least one pixel high; a narrower one stays."""
+    small = F.struct(F.lit(max_width).cast("long").alias("w"), F.greatest(F.bround(h * F.lit(float(max_width)) / w).cast("long"), F.lit(1)).alias("h"))
+    return F.when(w > max_width, small).otherwise(F.struct(w.cast("long").alias("w"), h.cast("long").alias("h")))
+
+
 def same_object(a: Column, b: Column, least: float) -> Column:
     """IoU, or containment with four fifths of the width in common."""
     across = F.greatest(F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]), F.lit(0.0)) / F.least(a["w"], b["w"])
