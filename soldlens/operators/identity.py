@@ -33,9 +33,10 @@ def assign(readings: DataFrame, rows: DataFrame, aliases: DataFrame, fuzzy: bool
 
 def _fits(asked: DataFrame, rows: DataFrame, fuzzy: bool, among: bool = False) -> DataFrame:
     """The unique best real row of each reading, else its best synthetic row by exact tiers alone; `among`: readings are rows, and go to lesser ids."""
-    pairs = blocked_pairs(asked, rows.select("item_id", "site", *SHOWN))
-    real = best_fit(scored_pairs(pairs.where(~is_synthetic(F.col("item_id"))), fuzzy))
-    own = pairs.where(is_synthetic(F.col("item_id")) & ((F.col("item_id") < F.col("rid")) if among else F.lit(True)))
+    shown = rows.select("item_id", "site", *SHOWN)
+    synthetic = is_synthetic(F.col("item_id"))
+    real = best_fit(scored_pairs(blocked_pairs(asked, shown.where(~synthetic), exact=not fuzzy), fuzzy))
+    own = blocked_pairs(asked, shown.where(synthetic), exact=True).where((F.col("item_id") < F.col("rid")) if among else F.lit(True))
     return real.unionByName(best_fit(scored_pairs(own.join(real, "rid", "left_anti"), fuzzy=False))).select("rid", "item_id")
 
 
